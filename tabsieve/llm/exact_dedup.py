@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage
+from .common import SPACE, free_name, stage
 
 RUNS = 64
 FAN_IN = 4
@@ -70,10 +70,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay, with their columns. Rows are found again by id and digest; of rows equal in both,
     one stays."""
     groups = stage(exact_groups(docs, id_col, text_col), "groups")
+    gid, gsha = free_name(docs, "_gid"), free_name(docs, "_gsha")
+    keys = groups.groupBy(F.col("doc_id").alias(gid), F.col("text_sha256").alias(gsha)).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     sha = F.sha2(normalised(F.col(text_col)), 256)
-    key = [F.col(id_col).eqNullSafe(F.col("_d.doc_id")), sha == F.col("_d.text_sha256")]
-    gone = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    left = docs.join(gone.filter("not kept").alias("_d"), key, "left_anti")
-    if gone.filter("kept and n > 1").isEmpty():
+    left = docs.join(keys.filter("not kept").select(gid, gsha), F.col(id_col).eqNullSafe(F.col(gid)) & (sha == F.col(gsha)), "left_anti")
+    if keys.filter("kept and n > 1").isEmpty():
         return left
-    return left.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return left.withColumn(gsha, sha).dropDuplicates([id_col, gsha]).drop(gsha)
