@@ -53,10 +53,11 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread: Column, salts: int = SALTS) -> DataFrame:
     """left join right on keys, right being unique by key: each right row is copied `salts` times, and a
-    hot key's left rows are dealt to the copies by `spread` (an expression over left that varies within a key)."""
+    hot key's left rows are dealt to the copies by `spread` (an expression over left that varies within a key).
+    The copies are not counted in Spark's estimate of right's size, so it is told not to broadcast them."""
     salt = "_salt"
     return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts))).join(
-        right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), [*keys, salt], how
+        right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))).hint("merge"), [*keys, salt], how
     ).drop(salt)
 
 
