@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan
 from .common import read
 
 
@@ -45,6 +46,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -70,12 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
     "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
+    "op8_license_scan": license_scan.oracle(),
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
