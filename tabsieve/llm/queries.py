@@ -10,6 +10,12 @@ from . import license_scan
 from .common import read
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import collapse_and_render
+
+    return collapse_and_render(read(spark, sf_dir, "conversations"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -71,6 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
@@ -84,6 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_chat_format": """
+        WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list(role || chr(0) || text ORDER BY turn, role, text) AS ts FROM t GROUP BY conv_id),
+        gone AS (SELECT DISTINCT a.conv_id FROM c a JOIN c b ON a.ts[1] = b.ts[1] AND len(a.ts) < len(b.ts) AND b.ts[:len(a.ts)] = a.ts)
+        SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS part, count(*) AS n_turns,
+               string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+        FROM t WHERE conv_id NOT IN (SELECT conv_id FROM gone) GROUP BY ALL""",
     "op8_license_scan": license_scan.oracle(),
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
