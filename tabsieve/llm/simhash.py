@@ -156,7 +156,9 @@ def shards(nodes: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD) -
         to = F.create_map(*[F.lit(x) for fixed, new in split for x in (_signed(fixed), F.array(*[F.lit(_signed(m)) for m in new]))])
         pending = pending.select("fp", F.explode(to[F.col("mask")]).alias("mask"))
         pending = pending.select("fp", "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("val"))
-        level = [(m, full & ~m) for _, new in split for m in new]
+        level = [(m, full & ~m) for m in sorted({m for _, new in split for m in new})]
+        if done is not None:  # different ways of splitting lead to the same shard
+            pending = pending.distinct()
         small = max(f.bit_count() for _, f in level) <= max_shard.bit_length() - 1
         if small:
             return pending if done is None else done.unionByName(pending)
