@@ -89,3 +89,9 @@ def test_example_has_all_rows(spark):
         assert r.remaining() == 6 - len(seen)
     assert len(seen) == 6 and sum(len(b) for b in r.blocks()) == 6
     assert r.format_row(row=next(r.rows())) == f"{0:10d}{0:10d}"
+
+
+def test_deep_parentheses():
+    for mode in ("standard", "reference"):
+        parse(f"select a from t where {'(' * 60}a{')' * 60} + 1 = 2", mode)
+    parse(f"select a from t where {'(' * 60}a = 1{')' * 60}")
