@@ -72,10 +72,13 @@ def held_out(id_col: Column) -> Column:
 
 
 def sample_ids(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """Of rows (_id, label), the per_class ids of each label with the smallest hash. The rank limit works before
-    the shuffle, so a hot label sends per_class rows from each task at most."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64("_id", F.lit("sample")), "_id")
-    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_class).drop("_rank")
+    """Of rows (_id, label), about per_class ids of each label at most: of each of SALTS parts that a hash deals the ids
+    to, those with the smallest hash. So a hot label is spread over tasks, and as few rows of a part are wanted as
+    Spark limits before the shuffle."""
+    part = F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(SALTS))
+    w = Window.partitionBy(label, "_part").orderBy(F.xxhash64("_id", F.lit("sample")), "_id")
+    ranked = rows.withColumn("_part", part).withColumn("_rank", F.row_number().over(w))
+    return ranked.filter(F.col("_rank") <= -(-per_class // SALTS)).drop("_rank", "_part")
 
 
 def text_window(text: Column, id_col: Column, chars: int) -> Column:
