@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of which the ids are kept from one batch to the next, and words encoded at once.
-CACHE = 300_000
-AT_ONCE = 150_000
+CACHE = 150_000
+AT_ONCE = 60_000
 #: Texts encoded together hold about this many characters.
-RUN = 8_000_000
+RUN = 2_000_000
 
 
 def byte_characters() -> list[str]:
