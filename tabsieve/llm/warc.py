@@ -35,6 +35,8 @@ MIN_REVISIT = 100
 #: Bytes of an archive after which the task begins another.
 ARCHIVE = 256 << 20
 RANGE = 4 << 20
+#: Bytes of archives that a reading task gets.
+SHARE = 8 << 20
 GAP = 64 << 10
 #: Stamped on every record: pages carry no date.
 DATE = "2000-01-01T00:00:00Z"
@@ -191,7 +193,8 @@ def _reader(folder: str, with_payload: bool):
 def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records that the rows of index select. Revisits have no payload of their own."""
     schema = RECORDS if with_payload else RECORDS.rpartition(", ")[0]
-    dealt = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // SHARE))
+    dealt = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return dealt.mapInPandas(_reader(folder, with_payload), schema)
 
 
