@@ -209,7 +209,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay, with their columns: of each component the rows whose id is its smallest."""
-    gone = free_name(docs, "_gone")
-    ids = near_groups(docs, id_col, text_col, radius).filter("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, F.col(id_col) == F.col(gone), "left_anti")
+    """The rows of docs that stay, with their columns: of each component the rows whose id is its smallest. Rows with null
+    id go where a row of their component has an id; of a component without any id all rows stay."""
+    groups = stage(near_groups(docs, id_col, text_col, radius), "groups")
+    gone, fp = free_name(docs, "_gone"), free_name(docs, "_fp")
+    ids = groups.filter("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(ids, F.col(id_col) == F.col(gone), "left_anti")
+    # found again by their fingerprints; a fingerprint is in one component
+    fps = groups.filter("doc_id IS NULL AND component_id IS NOT NULL").select(F.conv("fingerprint", 16, -10).cast("long").alias(gone)).distinct()
+    nameless = docs.filter(F.col(id_col).isNull()).withColumn(fp, fingerprint_udf(F.col(text_col)))
+    return named.unionByName(nameless.join(fps, F.col(fp) == F.col(gone), "left_anti").select(*docs.columns))

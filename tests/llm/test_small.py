@@ -102,7 +102,10 @@ def test_simhash_documents(spark, odd, none):
     assert got[(5, "0" * 16)] == 3
     assert simhash.near_groups(none).count() == 0
     kept = simhash.deduplicate(odd)
-    assert kept.columns == odd.columns and 3 in [r.doc_id for r in kept.collect()] and 5 not in [r.doc_id for r in kept.collect()]
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == odd.columns and 3 in ids and 5 not in ids and None not in ids
+    far = odd.filter("doc_id IS NULL OR doc_id = 8")  # a row without an id goes only where its group has one
+    assert {r.doc_id for r in simhash.deduplicate(far).collect()} == {None, 8}
 
 
 def test_simhash_query(spark):
