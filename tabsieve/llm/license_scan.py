@@ -6,6 +6,12 @@ line). Sentences that hold one of the words KEYWORDS are normalised (ASCII lower
 against licence rules, in order: a rule takes the places where its identifiers stand one after the other, and what it
 has taken is not seen by later rules. There is no shuffle; nothing is broadcast but the tables in this file.
 
+A sentence does not end between "v." and a number. A sentence that is not known as it stands is tried again without the
+list mark before it, the number of the next list item left at its end, and marks that stand alone, and as one of the
+known joined sentences (JOINED), which no full stop parts in the licence's own text.
+
+The SQL (oracle) knows none of that paragraph: it differs on texts that hold such sentences.
+
 Results: doc_id, n_known (known sentences), sentence_ids (in order, comma-joined), licenses (distinct, sorted,
 comma-joined; null if none), unmatched (identifiers that no rule took, distinct and sorted; null if none). Null and empty
 texts have none; repeated rows and null ids are kept; an empty table gives an empty result; other columns are not looked at.
@@ -86,6 +92,13 @@ _KEY = "(?i)" + "|".join(KEYWORDS).replace(" ", r"[ \t\r\n]+")
 _END = r"[.!?]+([ \t\r\n]+|$)"
 _OTHER = "[^a-z0-9.+-]+"
 
+#: What the operator splits at: as _END, but not between "v." and a number.
+_SPLIT = r"(?!(?<=\b[vV])\.[ \t\r\n/*#;%-]+[0-9])" + _END
+_ITEM = r"\(?([0-9]{1,2}|[A-Za-z]|[ivx]{1,4})"
+#: A list mark at the beginning; the mark of the next item, cut at its full stop, alone on the last line.
+_MARKS = r"^[ \t\r\n/*#;%>-]*" + _ITEM + r"[.)][ \t]+|[\r\n][ \t/*#;%>-]*" + _ITEM + "$"
+_ALONE = r" [.+-]+(?= )"
+
 
 def normal(sentence: str) -> str:
     s = re.sub(_END + r"$", " ", sentence)
@@ -96,6 +109,12 @@ def normal(sentence: str) -> str:
 KNOWN: dict[str, str] = {normal(text): i for i, text in SENTENCES}
 assert all(re.search(_KEY, text) for text in KNOWN)
 
+# Sentences that follow each other without a full stop, and what a list may put between them.
+JOINED: dict[str, list[str]] = {}
+for _ids, _between in ((["bsd-grant", "bsd-source"], ("", " 1", " a", " i")), (["apache-copy", "apache-as-is"], ("",))):
+    _a, _b = (next(s for s, i in KNOWN.items() if i == of) for of in _ids)
+    JOINED |= {f"{_a}{x} {_b}": _ids for x in _between}
+
 
 def _normal(s: Column) -> Column:
     s = F.replace(F.regexp_replace(F.translate(s, _UPPER, _LOWER), _OTHER, " "), F.lit("licence"), F.lit("license"))
@@ -104,11 +123,13 @@ def _normal(s: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order, each in angle brackets."""
-    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    units = F.filter(F.split(F.when(text.rlike(_KEY), text).otherwise(""), _END), lambda u: u.rlike(_KEY))
+    known = {s: _sequence([i]) for s, i in KNOWN.items()} | {s: _sequence(ids) for s, ids in JOINED.items()}
+    known = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    units = F.filter(F.split(F.when(text.rlike(_KEY), text).otherwise(""), _SPLIT), lambda u: u.rlike(_KEY))
     forms = F.flatten(F.transform(units, lambda u: F.when(F.instr(u, "\n") > 0, F.concat(F.array(u), F.split(u, "\n"))).otherwise(F.array(u))))
-    ids = F.transform(forms, lambda u: F.try_element_at(known, _normal(u)))
-    return F.concat_ws("", F.transform(F.filter(ids, lambda i: i.isNotNull()), lambda i: F.concat(F.lit("<"), i, F.lit(">"))))
+    bare = lambda u: F.regexp_replace(_normal(F.regexp_replace(u, _MARKS, "")), _ALONE, "")
+    ids = F.transform(forms, lambda u: F.coalesce(F.try_element_at(known, _normal(u)), F.try_element_at(known, bare(u))))
+    return F.concat_ws("", F.filter(ids, lambda i: i.isNotNull()))
 
 
 def _sequence(ids: list[str]) -> str:

@@ -378,6 +378,58 @@ FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0}Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{1}Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """
+{2}Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licences_as_they_are_printed(spark):
+    marks = [("1. ", "2. ", "3. "), ("* ", "* ", "* "), ("- ", "- ", "- "), ("", "", ""), ("(1) ", "(2) ", "(3) "), ("a) ", "b) ", "c) "), ("i. ", "ii. ", "iii. ")]
+    want = [(BSD.format(*m), "BSD-2-Clause") for m in marks] + [((BSD + BSD_NAMES).format(*m), "BSD-3-Clause") for m in marks]
+    want += [(MPL, "MPL-2.0"), (APACHE, "Apache-2.0"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v.\n2.0.", "MPL-2.0")]
+    want += [("\n".join(f"{c} {line}" for line in t.split("\n")), x) for c in (" *", "#", "//") for t, x in want]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for i, (t, x) in enumerate(want):
+        assert (got[i].licenses, got[i].unmatched) == (x, None), t
+
+
+def test_every_licence_rule_fires(spark):
+    text = {}
+    for i, s in license_scan.SENTENCES:
+        text.setdefault(i, s.replace(" ", "\n", 1))
+    df = spark.createDataFrame([(n, ".\n\n".join(text[i] for i in ids) + ".") for n, (_, ids) in enumerate(license_scan.RULES)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for n, (name, _) in enumerate(license_scan.RULES):
+        assert (got[n].licenses, got[n].unmatched) == (name, None)
+
+
 # pipeline
 
 
