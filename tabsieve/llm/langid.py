@@ -9,8 +9,8 @@ Forward-backward runs over the words of many texts at once: each text is cut int
 transfer matrices are multiplied in step, the short chains of matrices are then walked, and the chunks are run with the
 messages that reach them. That equals one pass over the whole text, whatever its length.
 
-Training takes, of the rows whose crc32(doc_id) mod 5 is not 0, PER_LABEL of each label at most (those of smallest id
-hash) and of each TRAIN_CHARS characters at most.
+Training takes, of the rows with a letter whose crc32(doc_id) mod 5 is not 0, PER_LABEL of each label at most (those of
+smallest id hash) and of each TRAIN_CHARS characters at most. A label without a word there is not learned and never given.
 
 Results: lang_pred is `und` with score 0 if the text is null or has no letter, or if nothing could be learned; ties go
 to the label that sorts first; null ids are neither learned from nor held out; an empty table gives an empty result;
@@ -40,6 +40,7 @@ CACHE = 200_000
 #: Words run at once.
 RUN = 400_000
 WORD = regex.compile(r"\p{L}+")
+_LETTER = r"\p{L}"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,14 +198,14 @@ def _splice(rng: np.random.Generator, pool: list[tuple[list[str], int]], count:
 
 def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = SEED) -> dict:
     """rows: (text, label). Maximises the conditional likelihood by AdaGrad on batches of spliced sequences."""
-    labels = sorted({y for _, y in rows})
+    found = [(ws, y) for text, y in sorted(rows) if (ws := words_of(text))]
+    labels = sorted({y for _, y in found})
     k = len(labels)
     weights, trans = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k))
     by: list[list[tuple[list[str], int]]] = [[] for _ in labels]
-    for text, y in sorted(rows):
-        if ws := words_of(text):
-            by[labels.index(y)].append((ws, labels.index(y)))
-    if k > 1 and all(by):
+    for ws, y in found:
+        by[labels.index(y)].append((ws, labels.index(y)))
+    if k > 1:
         rng = np.random.default_rng(seed)
         even = min(max(map(len, by)), PER_LABEL)
         pool = [b[i % len(b)] for b in by for i in range(even)]
@@ -299,9 +300,11 @@ class Labeller:
 def fit(docs: DataFrame, per_label: int = PER_LABEL, chars: int = TRAIN_CHARS) -> dict:
     """The model from docs' doc_id, text and lang."""
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
-    ok = rows.filter(in_training(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    ok = rows.filter(in_training(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").rlike(_LETTER))
     ids = sample_ids(ok.select("_id", "_lang"), "_lang", per_label).select("_id", "_lang").distinct()
-    got = ok.join(F.broadcast(ids), ["_id", "_lang"]).select(text_window(F.col("_text"), F.col("_id"), chars).alias("t"), "_lang")
+    part = text_window(F.col("_text"), F.col("_id"), chars)
+    part = F.when(part.rlike(_LETTER), part).otherwise(F.substr(F.regexp_replace("_text", r"^\P{L}+", ""), F.lit(1), F.lit(chars)))
+    got = ok.join(F.broadcast(ids), ["_id", "_lang"]).select(part.alias("t"), "_lang")
     return train([(r.t, r._lang) for r in got.collect()])
 
 

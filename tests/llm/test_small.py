@@ -251,6 +251,16 @@ def test_language_odd(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd.filter("lang is null")).collect()} == {"und"}
 
 
+def test_language_with_a_label_without_words(spark):
+    text = {"en": "the of and with this", "de": "der die und nicht ist", "fr": "le la et dans pour", "zxx": "12 345 -- 6"}
+    rows = [(i, f"{text[y]} " * 20, y) for i, y in enumerate(list(text) * 15)]
+    rows.append((1001, "7 " * 30_000 + "det som og ikke har " * 4, "da"))  # most windows hold no letter
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert all(got[i].lang_pred == ("und" if y == "zxx" else y) for i, _, y in rows)
+    assert {r.doc_id for r in langid.keep_identified(docs).collect()} == {i for i, _, y in rows if y != "zxx"}
+
+
 # toxicity
 
 
