@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies, the document with the smallest doc_id stays."""
+    """Of each group of near-copies, one document stays: the one with the smallest doc_id, null ids last."""
     return simhash.deduplicate(docs)
 
 

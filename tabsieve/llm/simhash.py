@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,16 +191,20 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def _linked(nodes: DataFrame, radius: int, max_shard: int) -> DataFrame:
+    """Rows (fp, root) of the fingerprints that link to another: root is the smallest of the component."""
+    n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = shards(nodes, radius, max_shard).repartition(n, "mask", "val").sortWithinPartitions("mask", "val", "fp")
+    star = components(dealt.mapInPandas(_link_shards, "u long, v long"))
+    linked = star.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return linked.unionByName(star.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
     """A row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
     rows = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp")), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = shards(nodes, radius, max_shard).repartition(n, "mask", "val").sortWithinPartitions("mask", "val", "fp")
-    star = components(dealt.mapInPandas(_link_shards, "u long, v long"))
-    linked = star.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    linked = linked.unionByName(star.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
-    members = stage(linked.join(nodes, "fp"), "members")
+    members = stage(_linked(nodes, radius, max_shard).join(nodes, "fp"), "members")
     roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
     known = salted_join(members.select("fp", "root"), roots, ["root"], "inner", F.col("fp")).select("fp", "component_id")
     alone = nodes.filter("n > 1").join(members.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
@@ -208,8 +212,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay, with their columns: of each component the rows whose id is its smallest."""
-    gone = free_name(docs, "_gone")
-    ids = near_groups(docs, id_col, text_col, radius).filter("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, F.col(id_col) == F.col(gone), "left_anti")
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each component one, that of the smallest id (null ids last), then
+    fingerprint, then text digest. Rows are found again by id and text digest; of rows equal in both, one stays."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp"), _digest(F.col(text_col)).alias("digest"))
+    rows = stage(rows, "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "digest")).alias("least")
+    nodes = stage(rows.groupBy("fp").agg(least, F.count("*").alias("n")), "nodes")
+    members = stage(_linked(nodes, radius, max_shard).join(nodes, "fp"), "members")
+    roots = members.groupBy("root").agg(F.min("least").alias("stays"))
+    known = salted_join(members.select("fp", "root"), roots, ["root"], "inner", F.col("fp")).select("fp", "stays")
+    alone = nodes.filter("n > 1").join(members.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("stays"))
+    grouped = salted_join(rows, stage(known.unionByName(alone), "survivors"), ["fp"], "inner", F.col("digest"))
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("digest") == F.col("stays.digest"))
+    gid, gdigest = free_name(docs, "_gid"), free_name(docs, "_gdigest")
+    keys = grouped.groupBy(F.col("doc_id").alias(gid), F.col("digest").alias(gdigest)).agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
+    keys = stage(keys, "verdicts")
+    digest = _digest(F.col(text_col))
+    left = docs.join(keys.filter("not stays").select(gid, gdigest), F.col(id_col).eqNullSafe(F.col(gid)) & (digest == F.col(gdigest)), "left_anti")
+    if keys.filter("stays and n > 1").isEmpty():
+        return left
+    return left.withColumn(gdigest, digest).dropDuplicates([id_col, gdigest]).drop(gdigest)

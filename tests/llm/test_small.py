@@ -105,6 +105,20 @@ def test_simhash_documents(spark, odd, none):
     assert kept.columns == odd.columns and 3 in [r.doc_id for r in kept.collect()] and 5 not in [r.doc_id for r in kept.collect()]
 
 
+def test_simhash_dedup_is_by_row(spark):
+    rng = random.Random(8)
+    base = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 5) for _ in range(60)) for _ in range(5)]
+    near = [b.replace(" ", "  ", 3) for b in base]  # another text, the same fingerprint
+    a, b, c, d, e = range(5)
+    rows = [(5, base[a]), (5, base[b]), (3, near[b]), (1, base[c]), (1, near[c]), (None, base[d]), (None, near[d]), (None, base[e]), (9, near[e]), (7, "x y"), (7, "x y")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _gid int")
+    got = simhash.deduplicate(df.repartition(3))
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    dig = lambda t: hashlib.sha256(t.encode()).digest()
+    want = [(5, base[a]), (3, near[b]), (1, min(base[c], near[c], key=dig)), (None, min(base[d], near[d], key=dig)), (9, near[e]), (7, "x y")]
+    assert got.columns == df.columns and found == sorted(want, key=str)
+
+
 def test_simhash_query(spark):
     import duckdb
 
