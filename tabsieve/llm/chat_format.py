@@ -5,10 +5,10 @@ A conversation that was logged again after each turn leaves snapshots that prefi
 whole hash, with its number of turns, is the hash of a proper prefix of another is dropped by an anti-join; the maximal
 ones are rendered.
 
-Turns are ordered by turn, then role, then hash (text in the rendering). Places and running hashes are found in two
+Turns are ordered by turn, then role, then text, here and in the rendering. Places and running hashes are found in two
 steps: within blocks of BLOCK turn numbers, and over the totals of a conversation's blocks; so a conversation that holds
 a large share of all rows is spread over tasks. A rendering row holds one block: (conv_id, part, text); nearly all
-conversations have one. Hash steps carry no text; texts are shuffled once, to be rendered. Only distinct prefix hashes
+conversations have one. Texts are shuffled twice, to order turns and to be rendered; later hash steps carry none. Only distinct prefix hashes
 are compared, and what a common conversation matches is dealt by salt.
 
 Results: a null text or role is empty; null turns come first; rows with a null conv_id are left out; equal
@@ -45,9 +45,9 @@ def _before(rows: DataFrame, value: Column, total: str) -> DataFrame:
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, n, h1, h2): the hashes of each conversation's first n turns."""
-    rows = turns.select("conv_id", "part", "turn", "role", F.xxhash64("role", "text").alias("a"), F.xxhash64("text", F.lit("second"), "role").alias("b"))
-    w = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "a", "b")
-    local = rows.withColumn("k", F.row_number().over(w))
+    rows = turns.select("conv_id", "part", "turn", "role", "text", F.xxhash64("role", "text").alias("a"), F.xxhash64("text", F.lit("second"), "role").alias("b"))
+    w = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+    local = rows.withColumn("k", F.row_number().over(w)).drop("text")
     placed = local.join(_before(rows, F.lit(1), "count"), ["conv_id", "part"]).withColumn("n", F.col("k") + F.col("_before")).drop("_before", "turn", "role")
     placed = stage(placed.select("conv_id", "part", "n", F.xxhash64("n", "a", "b").alias("x1"), F.xxhash64("b", "n", F.lit("second"), "a").alias("x2")), "turn-hashes")
     run = Window.partitionBy("conv_id", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)

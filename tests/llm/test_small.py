@@ -380,6 +380,20 @@ def test_chat(spark):
     assert chat_format.collapse_and_render(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("turn", [0, None])
+def test_chat_repeated_turns_in_order_of_text(spark, turn):
+    import duckdb
+
+    texts = ["a", "b", "cc", "d é", "Z", "", "中"]
+    turns = [(10 * i + j, turn, "u", t) for i in range(len(texts)) for j in range(len(texts)) if i != j for t in (texts[i], texts[j])]
+    turns += [(1000 + i, turn, "u", t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", turns)
+    got = chat_format.collapse_and_render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(q.SQL["op1_chat_format"]).fetchall())
+
+
 def test_licences(spark, odd, none):
     mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
