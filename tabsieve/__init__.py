@@ -4,6 +4,7 @@ from .errors import AnalysisError, CatalogError, EngineError, ParseError
 from .result import Result
 from .session import Engine, Prepared
 from .sources.catalog import Database, Table
+from .timing import Timer
 from .types import ColType
 
-__all__ = ["AnalysisError", "CatalogError", "ColType", "Database", "Engine", "EngineError", "ParseError", "Prepared", "Result", "Table"]
+__all__ = ["AnalysisError", "CatalogError", "ColType", "Database", "Engine", "EngineError", "ParseError", "Prepared", "Result", "Table", "Timer"]

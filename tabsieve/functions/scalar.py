@@ -3,7 +3,8 @@
 Operands are cast to their generalized type and so is the result, which keeps 32-bit types 32-bit. Integer division
 truncates toward zero; integer overflow and division by zero raise (Spark's ANSI mode). Float division follows IEEE 754.
 A comparison with a NaN is false, and != is true; the guard for that is added only where a NaN is possible, so that
-plain column filters are pushed to the scan. Null columns follow Spark's three-valued logic.
+plain column filters are pushed to the scan: after a division, in columns said to hold NaN, and in arithmetic on what
+may have overflowed to an infinity. Null columns follow Spark's three-valued logic.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ class Typed:
     column: Column
     type: ColType
     maybe_nan: bool = False
+    maybe_inf: bool = False
 
 
 def col(df: DataFrame, name: str, finite: bool = True) -> Typed:
-    """A column of df, by its exact name. finite=False: a float column that may hold NaN."""
+    """A column of df, by its exact name. finite=False: a float column that may hold NaN or infinities."""
     if name not in df.columns:
         raise AnalysisError(f"no such column: {name}")
     kind = of_spark(df.schema[name].dataType)
-    return Typed(F.col(f"`{name.replace('`', '``')}`"), kind, not finite and kind.is_float)
+    odd = not finite and kind.is_float
+    return Typed(F.col(f"`{name.replace('`', '``')}`"), kind, odd, odd)
 
 
 def lit_int(value: int) -> Typed:
@@ -43,7 +46,11 @@ def lit_int(value: int) -> Typed:
 
 def lit_float(value: float) -> Typed:
     """A 32-bit float literal."""
-    return Typed(F.lit(struct.unpack("f", struct.pack("f", value))[0]).cast("float"), ColType.FLOAT)
+    try:
+        value = struct.unpack("f", struct.pack("f", value))[0]
+    except OverflowError:
+        raise AnalysisError(f"{value} is not a 32-bit float") from None
+    return Typed(F.lit(value).cast("float"), ColType.FLOAT)
 
 
 def to(x: Typed, kind: ColType) -> Column:
@@ -55,19 +62,25 @@ def _binary(a: Typed, b: Typed) -> tuple[ColType, Column, Column]:
     return kind, to(a, kind), to(b, kind)
 
 
+def _result(x: Column, kind: ColType, a: Typed, b: Typed) -> Typed:
+    """Of + - *: floats may overflow, and what is computed on an infinity may be NaN."""
+    nan = a.maybe_nan or b.maybe_nan or a.maybe_inf or b.maybe_inf
+    return Typed(x.cast(kind.spark), kind, kind.is_float and nan, kind.is_float)
+
+
 def add(a: Typed, b: Typed) -> Typed:
     kind, x, y = _binary(a, b)
-    return Typed((x + y).cast(kind.spark), kind, a.maybe_nan or b.maybe_nan)
+    return _result(x + y, kind, a, b)
 
 
 def sub(a: Typed, b: Typed) -> Typed:
     kind, x, y = _binary(a, b)
-    return Typed((x - y).cast(kind.spark), kind, a.maybe_nan or b.maybe_nan)
+    return _result(x - y, kind, a, b)
 
 
 def mul(a: Typed, b: Typed) -> Typed:
     kind, x, y = _binary(a, b)
-    return Typed((x * y).cast(kind.spark), kind, a.maybe_nan or b.maybe_nan)
+    return _result(x * y, kind, a, b)
 
 
 def div(a: Typed, b: Typed) -> Typed:
@@ -79,7 +92,7 @@ def div(a: Typed, b: Typed) -> Typed:
     minus_zero = F.lit("-0.0") == y.cast("string")
     infinite = F.when((x > 0) != minus_zero, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
     zero = F.when(x.isNull(), x).when((x == 0) | F.isnan(x), F.lit(float("nan"))).otherwise(infinite)
-    return Typed(F.when(y == 0, zero).otherwise(F.try_divide(x, y)).cast(kind.spark), kind, True)
+    return Typed(F.when(y == 0, zero).otherwise(F.try_divide(x, y)).cast(kind.spark), kind, True, True)
 
 
 def cast(x: Typed, kind: str | ColType) -> Typed:
@@ -87,7 +100,8 @@ def cast(x: Typed, kind: str | ColType) -> Typed:
     kind = named(kind)
     if x.type == ColType.OTHER:
         raise AnalysisError("only numbers can be cast")
-    return Typed(to(x, kind), kind, x.maybe_nan and kind.is_float)
+    narrowed = x.type == ColType.DOUBLE and kind == ColType.FLOAT
+    return Typed(to(x, kind), kind, x.maybe_nan and kind.is_float, (x.maybe_inf or narrowed) and kind.is_float)
 
 
 _COMPARE = {

@@ -14,6 +14,26 @@ from .tree import Arith, Compare, Condition, Expr, FloatLit, IntLit, Logic, Name
 _ARITH = {"+": S.add, "-": S.sub, "*": S.mul, "/": S.div}
 
 
+def _operands(c: Condition, op: str) -> list[Condition]:
+    """What a run of the same operation joins, in order."""
+    out, todo = [], [c]
+    while todo:
+        match todo.pop():
+            case Logic(o, left, right) if o == op:
+                todo += [right, left]
+            case x:
+                out.append(x)
+    return out
+
+
+def _balanced(op: str, xs: list[Column]) -> Column:
+    """xs joined by AND or OR as a tree of little depth, so that long chains do not exhaust the planner's stack."""
+    while len(xs) > 1:
+        pairs = [(x & y if op == "and" else x | y) for x, y in zip(xs[::2], xs[1::2])]
+        xs = pairs + xs[len(pairs) * 2 :]
+    return xs[0]
+
+
 class Lowering:
     """Over one table: its DataFrame, its key column (read as `id`), the float columns that may hold NaN."""
 
@@ -38,13 +58,17 @@ class Lowering:
         match c:
             case Compare(op, left, right):
                 return S.compare(op, self.expr(left), self.expr(right))
-            case Logic("and", left, right):
-                return self.condition(left) & self.condition(right)
-            case Logic("or", left, right):
-                return self.condition(left) | self.condition(right)
+            case Logic(op, _, _):
+                return _balanced(op, [self.condition(x) for x in _operands(c, op)])
         raise TypeError(c)
 
     def select(self, q: Select) -> DataFrame:
+        try:
+            return self._select(q)
+        except RecursionError:
+            raise AnalysisError("the query is nested too deeply") from None
+
+    def _select(self, q: Select) -> DataFrame:
         out = []
         for o in q.outputs:
             x = self.expr(o.expr)

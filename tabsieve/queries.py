@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import functions as fn
 from . import operators as ops
+from . import queries_api
 from .session import Engine
 
 KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "customer": "c_custkey", "events": "event_id", "nation": "n_nationkey"}
@@ -158,5 +159,6 @@ for _k, (_cols, _where) in enumerate(SUITE):
         _add(f"suite_{_k}_standard", f"select id, {_cols} from lineitem where {_where}", _sql + _duck(_where))
         ALL[f"suite_{_k}_reference"] = _reference(f"select id, {_cols} from lineitem where {_where}"), _sql + _duck(_nested(_where))
 
+ALL |= queries_api.ALL
 QUERIES: dict[str, Query] = {name: q for name, (q, _) in ALL.items()}
 SQL: dict[str, str] = {name: s for name, (_, s) in ALL.items()}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import redirect_stdout
 from dataclasses import dataclass
+from io import StringIO
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,9 @@ class Prepared:
         return Result(self.df)
 
     def explain(self) -> str:
-        return self.df._jdf.queryExecution().explainString(self.df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        with redirect_stdout(StringIO()) as out:
+            self.df.explain("formatted")
+        return out.getvalue()
 
 
 class Engine:
@@ -56,8 +60,8 @@ class Engine:
         self.sources[name] = Source(df, key_column, tuple(nan_columns))
         return self
 
-    def register_parquet(self, name: str, path: str, key_column: str | None = None) -> Engine:
-        return self.register_df(name, self.spark.read.parquet(path), key_column)
+    def register_parquet(self, name: str, path: str, key_column: str | None = None, nan_columns: Iterable[str] = ()) -> Engine:
+        return self.register_df(name, self.spark.read.parquet(path), key_column, nan_columns)
 
     def create_database(self, path: str) -> Database:
         self._no_database()
@@ -80,6 +84,8 @@ class Engine:
 
     def close(self) -> None:
         self.close_database()
+        for s in self.sources.values():
+            s.df.unpersist()
         self.sources = {}
 
     def source(self, name: str) -> Source:
@@ -87,7 +93,7 @@ class Engine:
             return self.sources[name]
         if self.database is not None and name in self.database.tables:
             t = self.database.tables[name]
-            return Source(t.df, t.key)
+            return Source(t.df, t.key, t.nan_columns)
         raise AnalysisError(f"no such table: {name}")
 
     def prepare(self, text: str, precedence: str | None = None) -> Prepared:
@@ -106,7 +112,17 @@ class Engine:
         return self.prepare(text, precedence).explain()
 
     def preload(self, name: str) -> None:
-        df = self.source(name).df.persist()
-        df.count()
-        key, nan = self.source(name).key, self.source(name).nan_columns
-        self.sources[name] = Source(df, key, nan)
+        """Keep a table in memory (on disk what does not fit). Rows inserted later are seen: they end the preload."""
+        if name in self.sources:
+            self.sources[name].df.persist().count()
+        else:
+            self.source(name)
+            self.database.tables[name].preload()
+
+    def release(self, name: str) -> None:
+        """Undo preload."""
+        if name in self.sources:
+            self.sources[name].df.unpersist()
+        else:
+            self.source(name)
+            self.database.tables[name].release()

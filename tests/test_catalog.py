@@ -38,7 +38,7 @@ def test_missing_or_broken(spark, tmp_path):
     with pytest.raises(CatalogError):
         Database.open(spark, str(tmp_path / "none"))
     (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "manifest.json").write_text("{")
+    (tmp_path / "bad" / "manifest-00000000.json").write_text("{")
     with pytest.raises(CatalogError):
         Database.open(spark, str(tmp_path / "bad"))
 
