@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import clean_up, new_path, shared_dir  # noqa: F401
+
 #: Copies of the small side of a salted join; a hot key's rows are spread over as many tasks.
 SALTS = 32
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode a temporary folder of our own."""
-    global _own_dir
-    if told := spark.conf.get("spark.checkpoint.dir", None):
-        return told.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    _own_dir = _own_dir or f"file://{tempfile.mkdtemp(prefix='tabsieve-')}"
-    return _own_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tabsieve-{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs nothing written."""
     spark = df.sparkSession

@@ -1,5 +1,8 @@
 """SimHash near-deduplication with BK-trees.
 
+near_groups links fingerprints alone; deduplicate takes them as candidates, of a wider radius, and holds the texts'
+5-word shingles against each other.
+
 A fingerprint comes from all 3-word shingles of the lower-cased text, repeats included. Two fingerprints link when
 they differ in at most `radius` bits; component_id is the smallest doc_id reachable over links.
 
@@ -8,7 +11,8 @@ to one shard per range, keyed by that range's bits, and a BK-tree per shard (chi
 to the parent, only edges within the radius followed) finds every link of that shard. A shard above MAX_SHARD is split
 again over its remaining bits, so that a tree has a fixed greatest size and no link is lost. Trees are built where their
 shard lies rather than sent through the driver: fingerprints of all documents may not pass it.
-A shard reports, for each linked fingerprint, the smallest one of its part: never pairs.
+A shard reports, for each linked fingerprint, the first one of its part: never pairs. The trees of the shards that a
+batch holds are built and walked in step, as arrays.
 
 Results: null or blank text has fingerprint zero and links like any other; texts of one or two words are one shingle;
 rows sharing a doc_id share nothing else; rows with null doc_id link but lend no id (component_id is null if no
@@ -32,14 +36,24 @@ WORDS = 3
 RADIUS = 2
 SEED = 42
 MAX_SHARD = 1024
+#: Of deduplicate: bits that candidates may differ in, words of a shingle, least Jaccard similarity.
+CANDIDATE_RADIUS = 8
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+#: Earlier neighbours of a fingerprint that a shard reports at once; the rest follow where they are still needed.
+NEAREST = 2
+#: Pairs that share a copy of a text's shingles.
+HUB = 512
 _CHUNK = 1 << 16
+#: Pairs of a query and a tree node that are looked at in one step, about.
+_PAIRS = 1 << 21
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The fingerprint as an unsigned integer; shingles are hashed and counted in bounded chunks."""
+def shingles(text: str | None, words: int) -> Iterator[bytes]:
+    """The XXH64 of the text's shingles, big-endian, in chunks."""
     toks = (text or "").encode("utf-8", "replace").lower().split()
     if not toks:
-        return 0
+        return
     joined = b" ".join(toks)
     ends = np.cumsum(np.fromiter(map(len, toks), np.int64, len(toks)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -47,14 +61,32 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         starts, ends = starts[: 1 - words], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    h, n, counts = xxhash.xxh64_digest, len(starts), np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
-        some = b"".join([h(joined[a:b], SEED) for a, b in zip(starts[i : i + _CHUNK].tolist(), ends[i : i + _CHUNK].tolist())])
+    h = xxhash.xxh64_digest
+    for i in range(0, len(starts), _CHUNK):
+        yield b"".join([h(joined[a:b], SEED) for a, b in zip(starts[i : i + _CHUNK].tolist(), ends[i : i + _CHUNK].tolist())])
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The fingerprint as an unsigned integer; shingles are hashed and counted in bounded chunks."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for some in shingles(text, words):
         bits = np.unpackbits(np.frombuffer(some, np.uint8)).reshape(-1, 64)
         counts += bits.sum(axis=0, dtype=np.int32)
+        n += len(bits)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def shingle_set(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct shingles' hashes in order; a text without words has one, which only such texts have."""
+    found = [np.frombuffer(some, ">u8").astype(np.uint64) for some in shingles(text, words)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -65,38 +97,60 @@ def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([_signed(fingerprint(t)) for t in s], dtype="int64")
 
 
-class BKTree:
-    """Nodes are numbered as they come; each holds its value and its children by distance."""
-
-    def __init__(self, radius: int):
-        self.radius, self.values, self.children = radius, [], []
-
-    def add(self, value: int) -> list[int]:
-        """Insert value and return the numbers of the earlier nodes within the radius, following only edges within it."""
-        values, children, radius, found = self.values, self.children, self.radius, []
-        me = len(values)
-        if values:
-            todo = [0]
-            while todo:
-                k = todo.pop()
-                d = (values[k] ^ value).bit_count()
-                if d <= radius:
-                    found.append(k)
-                for edge, child in children[k].items():
-                    if -radius <= edge - d <= radius:
-                        todo.append(child)
-            k = 0
-            while (c := children[k].get(d := (values[k] ^ value).bit_count())) is not None:
-                k = c
-            children[k][d] = me
-        values.append(value)
-        children.append({})
-        return found
-
-
-def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(value, smallest value of its part) for the values of a shard that link to another, itself excepted."""
-    tree, up = BKTree(radius), list(range(len(values)))
+class Forest:
+    """A BK-tree for each shard, as arrays. Values stand shard by shard; the first of a shard is its root, and every other
+    one hangs below the first value before it that has its distance to the same parent. So a child stands after its
+    parent, and a tree is the same as if its values had been inserted one by one."""
+
+    def __init__(self, values: np.ndarray, starts: np.ndarray):
+        """values: shard by shard (equal ones hang below each other); starts: where each shard begins."""
+        n = len(values)
+        self.values = values
+        self.root = np.repeat(starts, np.diff(np.append(starts, n)))
+        at, todo = self.root.copy(), np.setdiff1d(np.arange(n), starts, assume_unique=True)
+        keys, kids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(todo):
+            key = at[todo] * 65 + self._distance(todo, at[todo])
+            new, first, group = np.unique(key, return_index=True, return_inverse=True)
+            keys.append(new)
+            kids.append(todo[first])
+            at[todo] = todo[first][group]
+            todo = np.delete(todo, first)
+        key, kid = np.concatenate(keys), np.concatenate(kids)
+        order = np.argsort(key)
+        self.key, self.kid = key[order], kid[order]  # children by parent and edge
+
+    def _distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.values[a] ^ self.values[b]).astype(np.int64)
+
+    def earlier(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(values, earlier values of the same shard within the radius, distances), in chunks that hold all neighbours of the
+        values in them. Only edges within the radius of the distance to the parent are followed."""
+        n = len(self.values)
+        work = np.cumsum(np.arange(n) - self.root)
+        cuts = np.unique(np.searchsorted(work, np.arange(0, work[-1] if n else 0, _PAIRS)))
+        for lo, hi in zip(cuts, np.append(cuts[1:], n)):
+            q = np.arange(lo, hi)
+            k = self.root[q]
+            q, k = q[k < q], k[k < q]
+            found = []
+            while len(q):
+                d = self._distance(q, k)
+                hit = d <= radius
+                found.append((q[hit], k[hit], d[hit]))
+                a = np.searchsorted(self.key, k * 65 + np.maximum(d - radius, 0), "left")
+                b = np.searchsorted(self.key, k * 65 + np.minimum(d + radius, 64), "right")
+                many = b - a
+                q = np.repeat(q, many)
+                k = self.kid[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(len(q))]
+                q, k = q[k < q], k[k < q]  # below a later node all are later
+            if found:
+                yield tuple(map(np.concatenate, zip(*found)))
+
+
+def shard_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(value, first value of its part) for the values of shards that link to another, itself excepted."""
+    up = list(range(len(values)))
 
     def top(i: int) -> int:
         while up[i] != i:
@@ -104,39 +158,44 @@ def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]
             i = up[i]
         return i
 
-    for i, v in enumerate(values):
-        for j in tree.add(v):
+    for many, earlier, _ in Forest(values, starts).earlier(radius):
+        for i, j in zip(many.tolist(), earlier.tolist()):
             a, b = top(i), top(j)
             if a != b:
                 up[max(a, b)] = min(a, b)
-    return [(v, values[t]) for i, v in enumerate(values) if (t := top(i)) != i]
+    return [(int(values[i]), int(values[t])) for i in range(len(values)) if (t := top(i)) != i]
 
 
-def _link_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches are sorted by shard (mask, val), then fp; a shard may go on in the next batch."""
+def _by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, where each shard begins) of whole shards (mask, val) with more than one row. Batches are sorted by shard; a
+    shard may go on in the next batch."""
     rest = None
 
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask, val, fp = (pdf[c].to_numpy() for c in ("mask", "val", "fp"))
-        cut = np.flatnonzero((mask[1:] != mask[:-1]) | (val[1:] != val[:-1])) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
-        out = []
-        for a, b in zip(starts, ends):
-            if b - a > 1:
-                out += shard_links(fp[a:b].view(np.uint64).tolist())
-        got = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"u": got[:, 0], "v": got[:, 1]})
+    def whole(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        mask, val = pdf["mask"].to_numpy(), pdf["val"].to_numpy()
+        new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (val[1:] != val[:-1])])
+        shard = np.cumsum(new) - 1
+        some = np.bincount(shard)[shard] > 1
+        if some.any():
+            yield pdf[some].reset_index(drop=True), np.flatnonzero(new[some])
 
     for pdf in batches:
         if not len(pdf):
             continue
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        last = (pdf["mask"] == pdf["mask"].iloc[-1]) & (pdf["val"] == pdf["val"].iloc[-1])
-        rest, whole = pdf[last], pdf[~last]
-        if len(whole):
-            yield links(whole)
+        last = ((pdf["mask"] == pdf["mask"].iloc[-1]) & (pdf["val"] == pdf["val"].iloc[-1])).to_numpy()
+        rest = pdf[last]
+        if not last.all():
+            yield from whole(pdf[~last])
     if rest is not None:
-        yield links(rest)
+        yield from whole(rest)
+
+
+def _link_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches are sorted by shard (mask, val), then fp."""
+    for pdf, starts in _by_shard(batches):
+        got = np.array(shard_links(pdf["fp"].to_numpy().view(np.uint64), starts), np.uint64).reshape(-1, 2).view(np.int64)
+        yield pd.DataFrame({"u": got[:, 0], "v": got[:, 1]})
 
 
 def _ranges(mask: int, parts: int) -> list[int]:
@@ -216,24 +275,155 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
-    """The rows of docs that stay, with their columns: of each component one, that of the smallest id (null ids last), then
-    fingerprint, then text digest. Rows are found again by id and text digest; of rows equal in both, one stays."""
+def fine_shards(nodes: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> DataFrame:
+    """nodes: fp, and more columns. Adds mask and val: any two fingerprints within the radius share a shard.
+
+    Of radius + depth ranges of bits, such two agree in `depth` at least. A shard of level k fixes k ranges a1 < ... < ak with
+    ai <= radius + i: the pair's first k are among them. A shard above max_shard goes on to the next level, where each
+    further range makes a shard; `depth` is taken from the number of nodes."""
+    n = nodes.count()
+    depth = next(d for d in range(1, 64 - radius) if d == 63 - radius or 64 * d / (radius + d) >= np.log2(max(n, 2)) - 8)
+    bits = _ranges((1 << 64) - 1, radius + depth)
+    level = [((i,), bits[i]) for i in range(radius + 1)]
+    more = [c for c in nodes.columns if c != "fp"]
+    out, pending = None, nodes.select("fp", *more, F.explode(F.array(*[F.lit(_signed(m)) for _, m in level])).alias("mask"))
+    for k in range(1, depth + 1):
+        pending = pending.withColumn("val", F.col("mask").bitwiseAND(F.col("fp")))
+        if k == depth:
+            break
+        heavy = stage(pending.groupBy("mask", "val").count().filter(F.col("count") > max_shard).drop("count"), "heavy")
+        if not (many := heavy.count()):
+            break
+        if many <= 500_000:  # 8 MB
+            flagged = pending.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), ["mask", "val"], "left")
+        else:
+            flagged = salted_join(pending, heavy.withColumn("heavy", F.lit(True)), ["mask", "val"], "left", F.col("fp"))
+        light = flagged.filter("heavy is null").select("fp", *more, "mask", "val")
+        out = light if out is None else out.unionByName(light)
+        nexts = [(mask, [((*at, i), mask | bits[i]) for i in range(at[-1] + 1, radius + k + 1)]) for at, mask in level]
+        to = F.create_map(*[x for mask, new in nexts for x in (F.lit(_signed(mask)), F.array(*[F.lit(_signed(m)) for _, m in new]))])
+        pending = flagged.filter("heavy").select("fp", *more, F.explode(to[F.col("mask")]).alias("mask"))
+        level = [x for _, new in nexts for x in new]
+    return pending if out is None else out.unionByName(pending)
+
+
+def _dealt(shards: DataFrame) -> DataFrame:
+    n = max(1, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return shards.repartition(n, "mask", "val").sortWithinPartitions("mask", "val", "fp", "node")
+
+
+def _candidates(radius: int, nearest: int):
+    """Per node its nearest earlier neighbours in the shard; `more` on a row that names a shard with others left."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _by_shard(batches):
+            node, mask, val = (pdf[c].to_numpy() for c in ("node", "mask", "val"))
+            for q, k, d in Forest(pdf["fp"].to_numpy().view(np.uint64), starts).earlier(radius):
+                order = np.lexsort((k, d, q))
+                q, k = q[order], k[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                yield pd.DataFrame({"u": node[q[rank < nearest]], "v": node[k[rank < nearest]], "mask": 0, "val": 0, "more": False})
+                dense = np.unique(np.column_stack([mask[q], val[q]])[rank == nearest], axis=0)
+                yield pd.DataFrame({"u": 0, "v": 0, "mask": dense[:, 0], "val": dense[:, 1], "more": True})
+
+    return run
+
+
+def _remaining(radius: int):
+    """All pairs within the radius whose parts are not the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _by_shard(batches):
+            node, part = pdf["node"].to_numpy(), pdf["part"].to_numpy()
+            for q, k, _ in Forest(pdf["fp"].to_numpy().view(np.uint64), starts).earlier(radius):
+                apart = part[q] != part[k]
+                yield pd.DataFrame({"u": node[q[apart]], "v": node[k[apart]]})
+
+    return run
+
+
+@F.pandas_udf(T.BinaryType())
+def _set_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield pd.Series([shingle_set(t).tobytes() for t in s], dtype=object)
+
+
+@F.pandas_udf(T.DoubleType())
+def _jaccard_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="float64")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) of nodes those whose texts are similar. texts: digest, text. The shingles of a node in many pairs
+    are copied, one copy for HUB pairs."""
+    pairs = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    degrees = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / HUB).cast("int").alias("copies"))
+    ends = stage(degrees.join(nodes.select("node", "digest"), "node"), "ends")
+    one = texts.join(ends, "digest").groupBy("node", "copies").agg(F.first("text").alias("text"))
+    one = one.select("node", "copies", _set_udf("text").alias("shingles"))
+    sets = stage(one.select("node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "shingles"), "shingles")
+    for end, other, name in (("u", "v", "a"), ("v", "u", "b")):
+        many = ends.filter("copies > 1").select(F.col("node").alias(end), "copies")
+        copy = F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")
+        pairs = salted_join(pairs, many, [end], "left", F.col(other)).withColumn(f"copy_{end}", copy).drop("copies")
+    for end, name in (("u", "a"), ("v", "b")):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("copy").alias(f"copy_{end}"), F.col("shingles").alias(name)), [end, f"copy_{end}"])
+    return stage(pairs.filter(_jaccard_udf("a", "b") >= similarity).select("u", "v"), "similar")
+
+
+def similar_parts(
+    texts: DataFrame, nodes: DataFrame, radius: int = CANDIDATE_RADIUS, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD, nearest: int = NEAREST
+) -> DataFrame:
+    """Rows (node, part) of the nodes that are linked to another: two link if their fingerprints differ in `radius` bits at
+    most and their shingle sets have the similarity. nodes: node, fp, digest; texts: digest, text.
+
+    First each node's nearest neighbours are held against it. Where a shard had more of them, all those pairs follow
+    that have not come to the same part by then: every link counts, but the pairs of a group are not listed."""
+    # a tree holds the first of the texts of one fingerprint, and the others are candidates of that one
+    heads = stage(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "heads")
+    several = heads.filter("n > 1").select("fp", F.col("node").alias("v"))
+    same = salted_join(nodes.select("fp", F.col("node").alias("u")), several, ["fp"], "inner", F.col("u")).filter("u != v").select("u", "v")
+    shards = fine_shards(heads.select("fp", "node"), radius, max_shard)
+    found = stage(_dealt(shards).mapInPandas(_candidates(radius, nearest), "u long, v long, mask long, val long, more boolean"), "candidates")
+    links = _verified(found.filter("not more").select("u", "v").unionByName(same), texts, nodes, similarity)
+    star = components(links)
+    # the others of a fingerprint have met neither each other nor what its first one has met
+    alike = several.select(F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("val")).unionByName(shards.join(several.select("fp"), "fp", "left_semi").select("mask", "val"))
+    dense = stage(found.filter("more").select("mask", "val").unionByName(alike).distinct(), "dense")
+    masks = [r.mask for r in dense.select("mask").distinct().collect()]  # not more than fine_shards has
+    if masks:
+        part = nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("fp", "node", F.coalesce("part", "node").alias("part"))
+        every = part.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).withColumn("val", F.col("mask").bitwiseAND(F.col("fp")))
+        every = stage(salted_join(every, dense, ["mask", "val"], "left_semi", F.col("node")), "dense-shards")
+        open_ = stage(every.groupBy("mask", "val").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a != b").select("mask", "val"), "open-shards")
+        rest = _dealt(salted_join(every, open_, ["mask", "val"], "left_semi", F.col("node"))).mapInPandas(_remaining(radius), "u long, v long")
+        more = _verified(rest.join(links, ["u", "v"], "left_anti"), texts, nodes, similarity)
+        star = components(star.unionByName(more))
+    return star.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each group of similar texts (see similar_parts, which takes the
+    settings) one row, that of the smallest id (null ids last), then text digest. Rows are found again by id and text
+    digest; of rows equal in both, one stays."""
     rows = docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp"), _digest(F.col(text_col)).alias("digest"))
     rows = stage(rows, "fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "digest")).alias("least")
-    nodes = stage(rows.groupBy("fp").agg(least, F.count("*").alias("n")), "nodes")
-    members = stage(_linked(nodes, radius, max_shard).join(nodes, "fp"), "members")
-    roots = members.groupBy("root").agg(F.min("least").alias("stays"))
-    known = salted_join(members.select("fp", "root"), roots, ["root"], "inner", F.col("fp")).select("fp", "stays")
-    alone = nodes.filter("n > 1").join(members.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("stays"))
-    grouped = salted_join(rows, stage(known.unionByName(alone), "survivors"), ["fp"], "inner", F.col("digest"))
-    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("digest") == F.col("stays.digest"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("least")
+    nodes = rows.groupBy("digest").agg(F.first("fp").alias("fp"), least, F.count("*").alias("n"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    parts = stage(similar_parts(docs.select(_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")), nodes, **settings), "parts")
+    known = parts.join(nodes.select("node", "least", "digest"), "node")
+    first = known.groupBy("part").agg(F.min(F.struct("least", "digest", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    gone = parts.join(first, "node", "left_anti").select("node", F.lit(True).alias("gone"))
+    verdicts = nodes.join(gone, "node", "left").filter("gone or n > 1").select("digest", "least", F.coalesce("gone", F.lit(False)).alias("gone"))
+    counts = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    keys = salted_join(counts, stage(verdicts, "verdicts"), ["digest"], "inner", F.col("doc_id"))
+    goes = F.col("gone") | ~F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
     gid, gdigest = free_name(docs, "_gid"), free_name(docs, "_gdigest")
-    keys = grouped.groupBy(F.col("doc_id").alias(gid), F.col("digest").alias(gdigest)).agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
-    keys = stage(keys, "verdicts")
+    keys = stage(keys.select(F.col("doc_id").alias(gid), F.col("digest").alias(gdigest), goes.alias("goes"), "n"), "keys")
+    out = stage(keys.filter("goes").select(gid, gdigest), "goes")
     digest = _digest(F.col(text_col))
-    left = docs.join(keys.filter("not stays").select(gid, gdigest), F.col(id_col).eqNullSafe(F.col(gid)) & (digest == F.col(gdigest)), "left_anti")
-    if keys.filter("stays and n > 1").isEmpty():
+    left = docs.join(out, F.col(id_col).eqNullSafe(F.col(gid)) & (digest == F.col(gdigest)), "left_anti")
+    if keys.filter("not goes and n > 1").isEmpty():
         return left
     return left.withColumn(gdigest, digest).dropDuplicates([id_col, gdigest]).drop(gdigest)
