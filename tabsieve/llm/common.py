@@ -59,7 +59,14 @@ def sample_ids(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     part = F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(SALTS))
     w = Window.partitionBy(label, "_part").orderBy(F.xxhash64("_id", F.lit("sample")), "_id")
     ranked = rows.withColumn("_part", part).withColumn("_rank", F.row_number().over(w))
-    return ranked.filter(F.col("_rank") <= -(-per_class // SALTS)).drop("_rank", "_part")
+    return ranked.filter(F.col("_rank") <= -(-per_class // SALTS)).select("_id", label)
+
+
+def sampled_rows(rows: DataFrame, ids: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Of rows (keys, t) those that the sample ids (keys, label) name, one for each: of rows that repeat an id the one whose
+    text has the smallest hash. So no more rows come than were sampled."""
+    named = rows.join(F.broadcast(ids.distinct()), keys)
+    return named.groupBy("_id", label).agg(F.min_by("t", F.xxhash64("t")).alias("t"))
 
 
 def text_window(text: Column, id_col: Column, chars: int) -> Column:

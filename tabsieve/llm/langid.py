@@ -9,8 +9,9 @@ Forward-backward runs over the words of many texts at once: each text is cut int
 transfer matrices are multiplied in step, the short chains of matrices are then walked, and the chunks are run with the
 messages that reach them. That equals one pass over the whole text, whatever its length.
 
-Training takes, of the rows with a letter whose crc32(doc_id) mod 5 is not 0, PER_LABEL of each label at most (those of
-smallest id hash) and of each TRAIN_CHARS characters at most. A label without a word there is not learned and never given.
+Training takes, of the rows with a letter whose crc32(doc_id) mod 5 is not 0, about PER_LABEL of each label at most (those
+of smallest id hash; of rows that repeat an id and label, one) and of each TRAIN_CHARS characters at most, of the
+MAX_LABELS labels with most rows. A label without a word there is not learned and never given.
 
 Results: lang_pred is `und` with score 0 if the text is null or has no letter, or if nothing could be learned; ties go
 to the label that sorts first; null ids are neither learned from nor held out; an empty table gives an empty result;
@@ -27,10 +28,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, in_training, sample_ids, text_window
+from .common import free_name, held_out, in_training, sample_ids, sampled_rows, text_window
 
 PER_LABEL = 300
 TRAIN_CHARS = 4000
+MAX_LABELS = 200
 BUCKETS = 1 << 17
 CHUNK = 32
 EPOCHS = 4
@@ -301,10 +303,11 @@ def fit(docs: DataFrame, per_label: int = PER_LABEL, chars: int = TRAIN_CHARS) -
     """The model from docs' doc_id, text and lang."""
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
     ok = rows.filter(in_training(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").rlike(_LETTER))
-    ids = sample_ids(ok.select("_id", "_lang"), "_lang", per_label).select("_id", "_lang").distinct()
+    often = ok.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LABELS).select("_lang")
+    ids = sample_ids(ok.select("_id", "_lang").join(F.broadcast(often), "_lang"), "_lang", per_label)
     part = text_window(F.col("_text"), F.col("_id"), chars)
     part = F.when(part.rlike(_LETTER), part).otherwise(F.substr(F.regexp_replace("_text", r"^\P{L}+", ""), F.lit(1), F.lit(chars)))
-    got = ok.join(F.broadcast(ids), ["_id", "_lang"]).select(part.alias("t"), "_lang")
+    got = sampled_rows(ok.select("_id", "_lang", part.alias("t")), ids, ["_id", "_lang"], "_lang")
     return train([(r.t, r._lang) for r in got.collect()])
 
 

@@ -3,11 +3,11 @@
 A word's vector is the mean of the hashed vectors of itself and its character 3- to 6-grams (with < and > around it),
 so that a misspelling not seen in training shares most vectors with the word it stands for. A text's vector is the mean
 of its words' vectors, and a linear softmax over the two classes gives the score. Vectors and softmax are trained
-jointly in numpy by AdaGrad. For two classes a text's log-odds are the mean over its words of a number per word, so
+jointly in numpy by AdaGrad with group shrinkage. For two classes a text's log-odds are the mean over its words of a number per word, so
 scoring needs one number per bucket, not vectors.
 
-Training takes, of the labelled rows whose crc32(doc_id) mod 5 is not 0, PER_LABEL of each label at most (those of
-smallest id hash) and of each TRAIN_CHARS characters at most.
+Training takes, of the labelled rows whose crc32(doc_id) mod 5 is not 0, about PER_LABEL of each label at most (those of
+smallest id hash; of rows that repeat an id, one) and of each TRAIN_CHARS characters at most.
 
 Results: null and wordless texts get the bias alone; without labelled rows of both classes every score is 0; a doc_id
 labelled twice counts as toxic if either says so; rows with null ids are scored but not learned from; an empty table
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, in_training, sample_ids, text_window
+from .common import free_name, held_out, in_training, sample_ids, sampled_rows, text_window
 
 PER_LABEL = 6000
 TRAIN_CHARS = 6000
@@ -39,6 +39,9 @@ ONE_IN = 3
 RATE = 3.0
 #: AdaGrad's sums begin at this: the smaller, the further a bucket that is seldom seen may move.
 GRAD_0 = 1e-4
+#: Each update shrinks a vector by this much of its pace, to zero if it is short: so buckets that tell texts rather than
+#: labels apart stay at nothing.
+SHRINK = 3e-4
 MIN_N, MAX_N = 3, 6
 #: Words of which the number is kept from one batch to the next.
 CACHE = 300_000
@@ -128,7 +131,9 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = SEED) ->
         d_word = _sums(inv, d_text[doc] * share[:, None], len(uniq)) / c[:, None]
         d_hit = _sums(back, np.repeat(d_word, c, axis=0), len(hit))
         g_emb[hit] += (d_hit**2).mean(axis=1)
-        emb[hit] -= rate * d_hit / np.sqrt(g_emb[hit])[:, None]
+        pace = rate / np.sqrt(g_emb[hit])[:, None]
+        new = emb[hit] - pace * d_hit
+        emb[hit] = new * np.maximum(0, 1 - SHRINK * pace / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-30))
     return {"table": emb @ (soft[:, 1] - soft[:, 0]), "bias": float(bias[1] - bias[0]) - math.log(ONE_IN - 1), "const": None}
 
 
@@ -168,9 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, chars: i
     """The model from docs' doc_id and text and labels' doc_id and toxic."""
     ys = labels.filter(in_training(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
     ids = docs.select(F.col("doc_id").alias("_id")).join(ys, "_id")
-    ids = sample_ids(ids, "_y", per_label).select("_id", "_y").distinct()
+    ids = sample_ids(ids, "_y", per_label)
     rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), text_window(F.col("text"), F.col("doc_id"), chars).alias("t"))
-    return train([(r.t, r._y) for r in rows.join(F.broadcast(ids), "_id").select("t", "_y").collect()])
+    return train([(r.t, r._y) for r in sampled_rows(rows, ids, ["_id"], "_y").collect()])
 
 
 def score(docs: DataFrame, model: dict, text: Column) -> Column:

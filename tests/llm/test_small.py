@@ -337,11 +337,43 @@ def test_language_with_a_label_without_words(spark):
 
 
 def test_toxicity_held_out(spark):
+    """The registered query, on rows that were not learned from."""
     sf = SF.replace("0.001", "0.1")
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    rows = toxicity.rate(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels, per_label=1500).join(labels, "doc_id").filter("held_out").collect()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = q.QUERIES["op7_toxicity"](spark, sf).join(labels, "doc_id").filter("held_out").collect()
     pos, neg = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
-    assert np.mean([a > b for a in pos for b in neg]) > 0.85
+    assert np.mean([a > b for a in pos for b in neg]) > 0.93
+    caught = sum(x >= 0.5 for x in pos)
+    assert caught / len(pos) > 0.75 and caught / (caught + sum(x >= 0.5 for x in neg)) > 0.75
+
+
+def test_toxicity_score_is_the_mean_of_vectors_through_a_softmax():
+    """Scores by numbers per word equal the definition: mean of the words' mean vectors, then a linear layer."""
+    rng = np.random.default_rng(3)
+    table, bias = rng.normal(size=toxicity.BUCKETS), 0.3
+    texts = ["One two two THREE", "a é 中文 b", "", "42", "x" * 500]
+    want = []
+    for t in texts:
+        words = [w for w in re.findall(r"[^\W\d_]+", t.lower())]
+        means = [np.mean([table[b] for b in toxicity.subwords([w])[0]]) for w in words]
+        want.append(1 / (1 + np.exp(-((np.mean(means) if means else 0.0) + bias))))
+    assert np.allclose(toxicity.Scorer({"table": table, "bias": bias, "const": None}).scores(texts), want)
+
+
+def test_samples_are_bounded_where_ids_repeat(spark):
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame([(hot, f"word{i} of the text", "en") for i in range(900)] + [(i, "der die und", "de") for i in range(1000, 1040)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(hot, 1), (hot, 0), *[(i, 0) for i in range(1000, 1040)]], "doc_id long, toxic int")
+    seen = {}
+    for name, fit, module in (("lang", lambda: langid.fit(docs), langid), ("toxic", lambda: toxicity.fit(docs, labels), toxicity)):
+        train = module.train
+        module.train = lambda rows, name=name: seen.setdefault(name, rows)
+        try:
+            fit()
+        finally:
+            module.train = train
+    assert sorted(y for _, y in seen["lang"]) == sorted(["de"] * sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000, 1040)) + ["en"])
+    assert sum(y for _, y in seen["toxic"]) == 1
 
 
 def test_toxicity_of_a_misspelling():
