@@ -8,7 +8,7 @@ again one merge at a time, so that the result is always that of the sequential r
 
 The vocabulary file is JSON as the tokenizers library writes it: BPE with an end-of-word suffix, NFC, lower case,
 words split by a pattern, bytes as printable characters. Special tokens in a text are recognised as the library does.
-Without a decoder in the file, decoding joins the tokens with spaces, as the library does.
+Without a decoder in the file, decoding joins the tokens with spaces, as the library does; it sees nothing but the ids.
 
 Results: null text is empty text: no tokens, and the digests of nothing; long texts and words are encoded whole;
 repeated rows and null ids are kept; an empty table gives an empty result; other columns are not looked at.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         self.word = regex.compile(pre[0]["pattern"]["Regex"])
+        # what an id adds to a decoded text; ids that no token has add nothing
+        self.spoken = pa.array([self.token[i] + " " if i in self.token else "" for i in range(max(self.token) + 1)], pa.large_binary())
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.file, self.library = file, None
         self.usual: set[str] = set()
@@ -225,21 +228,18 @@ class Encoder:
 
     def _clear(self) -> None:
         self.ids = {s: int(i).to_bytes(4, "little") for s, i in self.voc.special.items()}
-        self.said = {s: s for s in self.voc.special}
 
     def _learn(self, fresh: list[str]) -> None:
-        token = self.voc.token
         for i in range(0, len(fresh), AT_ONCE):
             part = fresh[i : i + AT_ONCE]
             ids, count = merge_words(self.voc, part)
-            flat, said, at = ids.astype("<u4").tobytes(), [token[x] for x in ids.tolist()], 0
+            flat, at = ids.astype("<u4").tobytes(), 0
             for w, c in zip(part, count.tolist()):
                 self.ids[w] = flat[4 * at : 4 * (at + c)]
-                self.said[w] = said[at] if c == 1 else " ".join(said[at : at + c])
                 at += c
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) for each text."""
+    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
         batch: list[list[str]] = []
         held = 0
         for k, t in enumerate(texts):
@@ -252,14 +252,15 @@ class Encoder:
                 self._clear()
                 fresh = set().union(*batch).difference(self.ids)
             self._learn(sorted(fresh))
-            ids, said = self.ids.__getitem__, self.said.__getitem__
             for ws in batch:
-                yield b"".join(map(ids, ws)), " ".join(map(said, ws))
+                yield b"".join(map(self.ids.__getitem__, ws))
             batch, held = [], 0
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: their tokens, joined by spaces."""
-        return " ".join(map(self.voc.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes) -> bytes:
+        """The text of ids, in UTF-8: their tokens, joined by spaces."""
+        said = self.voc.spoken.take(pa.array(np.frombuffer(ids, "<u4")))
+        end = np.frombuffer(said.buffers()[1], np.int64)[len(said)] if len(said) else 0
+        return said.buffers()[2][: end - 1].to_pybytes() if end else b""
 
 
 def public_file(name: str) -> str:
@@ -280,7 +281,7 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
         encoder = Encoder(shared.value)
         sha = hashlib.sha256
         for s in batches:
-            rows = [(len(ids) // 4, sha(ids).hexdigest(), sha(text.encode("utf-8")).hexdigest()) for ids, text in encoder.encode_batch(list(s))]
+            rows = [(len(ids) // 4, sha(ids).hexdigest(), sha(encoder.decode(ids)).hexdigest()) for ids in encoder.encode_batch(list(s))]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", run("text").alias("t")).select("doc_id", "t.*")

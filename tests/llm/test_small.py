@@ -403,10 +403,12 @@ def test_bpe_equals_the_library(spark, odd, none):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(4000)]
     texts += ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))) for _ in range(500)]
     texts += ["<|endoftext|>", "a<|endoftext|>b<|startoftext|>", "", "aaaa" * 3000, "I'LL they're"]
-    for text, (ids, said) in zip(texts, e.encode_batch(texts)):
+    for text, ids in zip(texts, e.encode_batch(texts)):
         want = t.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert said == t.decode(want, skip_special_tokens=False) == e.decode(ids)
+        assert e.decode(ids).decode() == t.decode(want, skip_special_tokens=False)
+    some = [rng.randrange(49_000) for _ in range(500)]  # ids that no text gave
+    assert e.decode(np.array(some, "<u4").tobytes()).decode() == t.decode(some, skip_special_tokens=False)
     got = {r.doc_id: r for r in bpe.encode(odd, file).collect()}
     assert got[3].n_tokens == 0 and got[3].ids_sha256 == got[3].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     for r in ODD:
@@ -415,6 +417,27 @@ def test_bpe_equals_the_library(spark, odd, none):
     assert bpe.encode(none, file).count() == 0
 
 
+def test_bpe_query_against_the_library(spark):
+    """The registered query; and the decoded digest follows the ids, not the text."""
+    from tokenizers import Tokenizer
+
+    file = bpe.public_file("word_bpe_49k.json")
+    t = Tokenizer.from_str(file)
+    t.no_truncation()
+    t.no_padding()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {tuple(r) for r in q.QUERIES["op5_bpe"](spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    want = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        want.add((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.decode(ids, skip_special_tokens=False).encode())))
+    assert got == want
+    e, text = bpe.Encoder(file), "what is said follows the ids"
+    (ids,) = e.encode_batch([text])
+    other = np.frombuffer(ids, "<u4")[::-1].tobytes()
+    assert e.decode(other) != e.decode(ids) and e.decode(other).decode() == t.decode(np.frombuffer(other, "<u4").tolist(), skip_special_tokens=False)
+
+
 def test_bpe_lower_rank_made_by_a_merge():
     import json
 
