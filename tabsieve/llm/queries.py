@@ -101,9 +101,10 @@ SQL: dict[str, str] = {
     "op8_license_scan": license_scan.oracle(),
     "op3_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-        g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM g""",
+        g AS (SELECT *, first_value(page_id) OVER w AS first, payload_bytes >= 100 AND row_number() OVER w > 1 AS again
+              FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first END AS refers_to FROM g""",
     "op6_nearest_neighbours": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
                    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -252,29 +252,54 @@ def test_best_fit_takes_the_tightest_compatible_bin():
 # WARC
 
 
-def test_warc(spark, tmp_path):
-    pages = [(3, "http://a/\r\nx", "é" * 60, 1), (1, None, "é" * 60, 1), (2, "u", "", 1), (4, "u", None, 1), (None, "u", "é" * 60, 1), (9, "u", "x" * 300_000, 1), (1, None, "é" * 60, 1)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, first int")
+def _ids(folder):
+    import gzip
+    import pathlib
+
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in pathlib.Path(folder).iterdir())
+    return re.findall(rb"WARC-Record-ID: (\S+)", raw), re.findall(rb"WARC-Refers-To: (\S+)", raw)
+
+
+@pytest.mark.parametrize("from_parquet", [True, False])
+def test_warc(spark, tmp_path, from_parquet):
+    dup, short, long = "é" * 60, "s" * 99, "l" * 100
+    pages = [(3, "http://a/\r\nx", dup, 1), (1, None, dup, 1), (2, "u", "", 1), (4, "u", None, 1), (None, "u", dup, 1), (9, "u", "x" * 300_000, 1), (1, None, dup, 1)]
+    pages += [(20 + i, "u", t, 1) for i, t in enumerate((short, short, long, long))] + [(None, "n", "only without an id " * 9, 1)] * 3
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, file int").repartition(4)
+    if from_parquet:
+        df.write.parquet(str(tmp_path / "pages"))
+        df = spark.read.parquet(str(tmp_path / "pages"))
     folder = str(tmp_path / "w")
     index = warc.write_archives(df, folder)
     got = warc.read_records(index, folder, with_payload=True).collect()
     assert len(got) == len(pages) and index.count() == len(pages)
-    for r in got:
-        html = next(p[2] for p in pages if p[0] == r.page_id) or ""
-        assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), hashlib.sha256(html.encode()).hexdigest())
-        revisit = html.startswith("é") and r.page_id != 1
-        assert (r.record_type, r.refers_to, r.payload) == (("revisit", 1, None) if revisit else ("response", None, html))
+    dig = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    found = sorted((r.page_id or 0, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to or 0, r.payload or "") for r in got)
+    first, want = {}, []
+    for p, _, t, _ in sorted(pages, key=lambda r: (r[0] is None, r[0] or 0)):
+        t = t or ""
+        again = len(t.encode()) >= 100 and t in first
+        want.append((p or 0, dig(t), len(t.encode()), "revisit" if again else "response", first[t] or 0 if again else 0, "" if again else t))
+        first.setdefault(t, p)
+    assert found == sorted(want)
     assert next(r.url for r in got if r.page_id == 3) == "http://a/%0D%0Ax"
     some = warc.read_records(index.filter("page_id in (2, 9)"), folder)
     assert sorted(r.page_id for r in some.collect()) == [2, 9]
+    ids, refers = _ids(folder)
+    assert len(set(ids)) == len(ids) == len(pages) and set(refers) <= set(ids) and len(refers) == 6
     assert warc.archive_and_read(spark, df.limit(0)).count() == 0
 
 
+def test_warc_shuffles_no_payload(spark, tmp_path):
+    plan = warc._placed(spark.read.parquet(f"{SF}/pages.parquet")).mapInPandas(warc._writer("x", "y"), warc.INDEX)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
 def test_warc_ranges():
     assert warc.ranges([0, 10, 50, 200], [10, 10, 10, 5], most=60, gap=30) == [(0, 3, 0, 60), (3, 4, 200, 5)]
     assert warc.ranges([], []) == []
     with pytest.raises(ValueError):
-        warc.parse(warc.record(1, "u", b"abc", "0" * 64, None))
+        warc.parse(warc.record(1, "u", b"abc", "0" * 64, "f#0"))
 
 
 # language
