@@ -32,6 +32,13 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def one_of_each(df: DataFrame, id_col: str, digest: Column, text_col: str) -> DataFrame:
+    """Of rows with the same id and digest the one with the least text, then hash of the whole row; df's columns."""
+    hashed = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(text_col), F.xxhash64(*hashed))
+    return df.groupBy(F.col(id_col).alias("_id"), digest.alias("_digest")).agg(F.min_by(F.struct("*"), order).alias("_row")).select("_row.*")
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread: Column, salts: int = SALTS) -> DataFrame:
     """left join right on keys, right being unique by key: each right row is copied `salts` times, and a
     hot key's left rows are dealt to the copies by `spread` (an expression over left that varies within a key).

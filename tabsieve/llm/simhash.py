@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, salted_join, stage
+from .common import free_name, one_of_each, salted_join, stage
 
 WORDS = 3
 RADIUS = 2
@@ -424,6 +424,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = stage(keys.filter("goes").select(gid, gdigest), "goes")
     digest = _digest(F.col(text_col))
     left = docs.join(out, F.col(id_col).eqNullSafe(F.col(gid)) & (digest == F.col(gdigest)), "left_anti")
-    if keys.filter("not goes and n > 1").isEmpty():
-        return left
-    return left.withColumn(gdigest, digest).dropDuplicates([id_col, gdigest]).drop(gdigest)
+    return left if keys.filter("not goes and n > 1").isEmpty() else one_of_each(left, id_col, digest, text_col)

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tabsieve.llm import ann, bpe, chat_format, exact_dedup, langid, license_scan, packing, simhash, toxicity, warc
 from tabsieve.llm import queries as q
@@ -50,7 +51,7 @@ def test_equals_sql(spark, name):
 
 
 def test_exact_groups(spark, odd, none):
-    got = exact_dedup.exact_groups(odd, runs=5, fan_in=2).collect()
+    got = exact_dedup.exact_groups(odd.repartition(5), fan_in=2).collect()
     by: dict = {}
     for r in ODD:
         by.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), []).append(r[0])
@@ -66,6 +67,26 @@ def test_exact_groups(spark, odd, none):
     assert sorted(r.doc_id for r in exact_dedup.deduplicate(odd.filter("doc_id = 2")).collect()) == [2]
 
 
+@pytest.mark.parametrize("parts,fan_in", [(1, 4), (7, 2), (13, 4), (32, 16)])
+def test_exact_groups_of_many_runs(spark, parts, fan_in):
+    rng = random.Random(parts)
+    rows = [(rng.randrange(500), rng.choice(["hot", *[f"t{i} x" for i in range(60)], f"single{i}"]).replace(" ", rng.choice([" ", "\n"]))) for i in range(600)]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), fan_in=fan_in).collect()
+    by: dict = {}
+    for d, t in rows:
+        by.setdefault(hashlib.sha256(t.replace("\n", " ").encode()).hexdigest(), []).append(d)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == sorted((d, min(ids), len(ids), h) for h, ids in by.items() for d in ids)
+    kept = [(r.doc_id, r.text_sha256) for r in got if r.kept]
+    assert sorted(kept) == sorted((min(ids), h) for h, ids in by.items())
+
+
+def test_exact_rounds_exchange_sorted_runs(spark):
+    """A round is one exchange by run number, and the merge needs no other."""
+    e = spark.createDataFrame([(0, b"1", 1, 1, (False, 1, 1), 1)], "run int, digest binary, n_bytes long, check long, head struct<no_id:boolean,doc_id:long,row:long>, size long")
+    plan = exact_dedup.merge(exact_dedup.exchange(e, 8, F.col("run").bitwiseAND(3)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "SortAggregate" in plan
+
+
 # SimHash
 
 
