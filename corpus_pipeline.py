@@ -1,7 +1,7 @@
 """Documents to packed training sequences: language ID, toxicity, exact dedup, near-dedup, best-fit packing.
 
 Each stage gets what the one before it kept, written as Parquet and read again, and all but the last return the columns
-of documents.
+of documents. The staged tables lie in the shared folder until tabsieve.scratch.clean_up deletes them.
 """
 
 from __future__ import annotations
@@ -28,18 +28,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies, one document stays: the one with the smallest doc_id, null ids last."""
+    """Of each group of texts whose fingerprints differ in 8 bits at most and whose 5-word shingles have a similarity of 0.8
+    or more, one document stays: the one with the smallest doc_id, null ids last."""
     return simhash.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all remaining documents and their bins."""
+    """The pieces of all remaining documents and their bins. The stages before leave one text of each cluster of packing's
+    own measure, so that here only sources conflict."""
     return packing.pack(docs)
 
 
 STAGES = [("language_id", language_id), ("toxicity", toxicity_filter), ("exact_dedup", exact), ("near_dedup", near), ("packing", pack)]
 
-#: Learned models and best-fit packing are beyond SQL; tests hold run() against a brute-force version.
+#: Learned models and best-fit packing are beyond SQL. Tests hold the deduplicating and packing stages against brute
+#: force, the learned ones against held-out rows, and run() against its stages.
 ORACLE_SQL = None
 
 

@@ -5,9 +5,11 @@ bins stand in a list ordered by what they have left. A search begins at the firs
 on to the next larger one until it finds one that has neither the piece's source nor its cluster of duplicates: the
 tightest compatible bin. Bins carry both as bitmaps. Without such a bin a new one is opened.
 
-Documents are dealt to blocks of about BLOCK by a hash of doc_id, and each block is packed by itself: no task holds
-more than a block, a hot source is spread over all blocks, and bins are the same however often a task is run. Text
-stays where it is read: only id, length, source and cluster are shuffled.
+Documents are dealt to blocks by a hash of id, length, source and cluster, and where rows repeat all four, of the copy's
+number; each block is packed by itself. So no task holds more than about BLOCK documents, a hot source, id or cluster is
+spread over all blocks, and bins are the same however often a task is run. The number of blocks is a power of two, the
+least that keeps them within BLOCK on average: it, and so the bins of old documents, changes only when documents double.
+Text stays where it is read: only id, length, source and cluster are shuffled, repeated rows as a count.
 
 Results: a row per piece: doc_id, piece (from 0), piece_start, piece_tokens, n_tokens, bin_id, bin_tokens (all of that bin).
 Length is the number of words of the text. Null or blank text makes one piece of 0 tokens, placed like any other;
@@ -66,7 +68,7 @@ def _bits(values: pd.Series) -> np.ndarray:
 
 def pack_block(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """pdf: block, doc_id, n_tokens, source, cluster of one block."""
-    pdf = pdf.sort_values(["doc_id", "n_tokens", "cluster"], kind="stable", na_position="last").reset_index(drop=True)
+    pdf = pdf.sort_values(["doc_id", "n_tokens", "cluster", "source"], kind="stable", na_position="last").reset_index(drop=True)
     n = pdf["n_tokens"].to_numpy(np.int64)
     full, rest = n // capacity, n % capacity
     source, cluster = _bits(pdf["source"]), _bits(pdf["cluster"])
@@ -108,6 +110,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, n_tokens
         F.xxhash64(F.coalesce(F.col("source"), F.lit("\0"))).alias("source"),
         (text_cluster(F.col("text")) if cluster is None else cluster).cast("long").alias("cluster"),
     )
-    blocks = max(1, -(-docs.count() // block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("cluster"))), F.lit(blocks)))
+    blocks = 1 << max(0, -(-docs.count() // block) - 1).bit_length()
+    copies = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    every = copies.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    dealt = every.withColumn("block", F.pmod(F.xxhash64(*every.columns), F.lit(blocks))).drop("copy")
     return dealt.groupBy("block").applyInPandas(lambda pdf: pack_block(pdf, capacity), SCHEMA)

@@ -253,6 +253,56 @@ def test_packing(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def brute_pack(rows, capacity):
+    """One block, by the rule as it is worded: (doc_id, piece, start, tokens, bin tokens) and which share a bin."""
+    often = {}
+    for _, _, s, c in rows:
+        often[s], often[c] = often.get(s, 0) + 1, often.get(c, 0) + 1
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[3], r[2]))
+    bins, out = [], []
+    for d, n, s, c in sorted(rows, key=lambda r: -(r[1] % capacity)):
+        for p in range(n // capacity):
+            out.append((d, p, p * capacity, capacity, len(bins)))
+            bins.append([0, {s, c}])
+        if n % capacity or n == 0:
+            fits = [(b[0], i) for i, b in enumerate(bins) if b[0] >= n % capacity and s not in b[1] and c not in b[1] and i in {o[4] for o in out if o[3] < capacity}]
+            i = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append([capacity, set()])
+            bins[i][0] -= n % capacity
+            bins[i][1] |= {s, c}
+            out.append((d, n // capacity, n // capacity * capacity, n % capacity, i))
+    full = {}
+    for o in out:
+        full.setdefault(o[4], []).append(o)
+    return sorted((sum(o[3] for o in os), sorted((o[0], *o[1:4]) for o in os)) for os in full.values())
+
+
+def test_packing_query_against_brute_force(spark):
+    """The registered query over a table that one block holds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert docs.count() < packing.BLOCK
+    keys = docs.select("doc_id", packing.word_count(F.col("text")).alias("n"), F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("s"), packing.text_cluster(F.col("text")).alias("c"))
+    want = brute_pack([tuple(r) for r in keys.collect()], packing.CAPACITY)
+    by_bin = {}
+    for r in q.QUERIES["op2_best_fit_packing"](spark, SF).collect():
+        by_bin.setdefault(r.bin_id, []).append(r)
+    got = sorted((rs[0].bin_tokens, sorted((r.doc_id, r.piece, r.piece_start, r.piece_tokens) for r in rs)) for rs in by_bin.values())
+    assert got == want
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_packing_spreads_a_hot_id(spark, hot):
+    """Rows of one id, and rows equal in everything, come to all blocks alike."""
+    rows = [(hot, "a b c", "s") for _ in range(900)] + [(hot, f"x{i}", "s") for i in range(900)] + [(i, "q", "t") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.lit(1).alias("block"), F.lit(2).alias("copies"), F.lit("x").alias("n_tokens"), F.lit("x").alias("cluster"))
+    got = packing.pack(docs.repartition(3), block=250).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.bin_id >> 40] = sizes.get(r.bin_id >> 40, 0) + 1
+    assert len(sizes) == 8 and max(sizes.values()) < 350 and len(got) == len(rows)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(2)
     pieces = sorted(((rng.randrange(1, 60), rng.randrange(-1, 6), rng.randrange(-1, 9)) for _ in range(400)), reverse=True)
