@@ -87,5 +87,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = groups.groupBy(F.col("doc_id").alias(gid), F.col("text_sha256").alias(gsha)).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     keys = stage(keys.filter("not kept or n > 1"), "verdicts")
     sha = F.sha2(normalised(F.col(text_col)), 256)
-    left = docs.join(keys.filter("not kept").select(gid, gsha), F.col(id_col).eqNullSafe(F.col(gid)) & (sha == F.col(gsha)), "left_anti")
+    left = docs.join(keys.filter("not kept").select(gid, gsha).hint("merge"), F.col(id_col).eqNullSafe(F.col(gid)) & (sha == F.col(gsha)), "left_anti")
     return left if keys.filter("kept").isEmpty() else one_of_each(left, id_col, sha, text_col)

@@ -40,8 +40,8 @@ MAX_SHARD = 1024
 CANDIDATE_RADIUS = 8
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-#: Earlier neighbours of a fingerprint that a shard reports at once; the rest follow where they are still needed.
-NEAREST = 2
+#: Nodes of a tile, about, that are held against as many.
+BLOCK = 512
 #: Pairs that share a copy of a text's shingles.
 HUB = 512
 _CHUNK = 1 << 16
@@ -148,22 +148,33 @@ class Forest:
                 yield tuple(map(np.concatenate, zip(*found)))
 
 
-def shard_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(value, first value of its part) for the values of shards that link to another, itself excepted."""
-    up = list(range(len(values)))
+class _Parts:
+    """Union-find over numbers from 0."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-    def top(i: int) -> int:
+    def top(self, i: int) -> int:
+        up = self.up
         while up[i] != i:
             up[i] = up[up[i]]
             i = up[i]
         return i
 
+    def join(self, i: int, j: int) -> bool:
+        """Whether i and j were apart; the smaller top stays."""
+        a, b = self.top(i), self.top(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def shard_links(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(value, first value of its part) for the values of shards that link to another, itself excepted."""
+    parts = _Parts(len(values))
     for many, earlier, _ in Forest(values, starts).earlier(radius):
         for i, j in zip(many.tolist(), earlier.tolist()):
-            a, b = top(i), top(j)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-    return [(int(values[i]), int(values[t])) for i in range(len(values)) if (t := top(i)) != i]
+            parts.join(i, j)
+    return [(int(values[i]), int(values[t])) for i in range(len(values)) if (t := parts.top(i)) != i]
 
 
 def _by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -312,32 +323,42 @@ def _dealt(shards: DataFrame) -> DataFrame:
     return shards.repartition(n, "mask", "val").sortWithinPartitions("mask", "val", "fp", "node")
 
 
-def _candidates(radius: int, nearest: int):
-    """Per node its nearest earlier neighbours in the shard; `more` on a row that names a shard with others left."""
+def spanning_links(values: np.ndarray, starts: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Index pairs that connect the same values as all links do: a least spanning forest of each shard, the smallest distances
+    first, so that a value's nearest neighbour is among its links."""
+    found = [np.zeros((3, 0), np.int64), *[np.stack(x) for x in Forest(values, starts).earlier(radius)]]
+    i, j, d = np.concatenate(found, axis=1)
+    order, parts = np.lexsort((j, i, d)), _Parts(len(values))
+    return [(x, y) for x, y in zip(i[order].tolist(), j[order].tolist()) if parts.join(x, y)]
 
+
+def _spanning(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, starts in _by_shard(batches):
-            node, mask, val = (pdf[c].to_numpy() for c in ("node", "mask", "val"))
-            for q, k, d in Forest(pdf["fp"].to_numpy().view(np.uint64), starts).earlier(radius):
-                order = np.lexsort((k, d, q))
-                q, k = q[order], k[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                yield pd.DataFrame({"u": node[q[rank < nearest]], "v": node[k[rank < nearest]], "mask": 0, "val": 0, "more": False})
-                dense = np.unique(np.column_stack([mask[q], val[q]])[rank == nearest], axis=0)
-                yield pd.DataFrame({"u": 0, "v": 0, "mask": dense[:, 0], "val": dense[:, 1], "more": True})
+            node = pdf["node"].to_numpy()
+            got = np.array(spanning_links(pdf["fp"].to_numpy().view(np.uint64), starts, radius), np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"u": node[got[:, 0]], "v": node[got[:, 1]]})
 
     return run
 
 
-def _remaining(radius: int):
-    """All pairs within the radius whose parts are not the same."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, starts in _by_shard(batches):
-            node, part = pdf["node"].to_numpy(), pdf["part"].to_numpy()
-            for q, k, _ in Forest(pdf["fp"].to_numpy().view(np.uint64), starts).earlier(radius):
-                apart = part[q] != part[k]
-                yield pd.DataFrame({"u": node[q[apart]], "v": node[k[apart]]})
+def _tile(radius: int, similarity: float):
+    """Rows of a tile: queries and candidates of one wide part. Links of parts whose texts are similar, not more than there are
+    parts. Pairs are looked at only while their parts are apart."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("query", kind="stable")
+        n = int((~pdf["query"]).sum())  # candidates, then queries
+        part, names = pd.factorize(pdf["part"])
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        parts, links = _Parts(len(names)), []
+        for i, j, _ in Forest(pdf["fp"].to_numpy().view(np.uint64), np.zeros(1, np.int64)).earlier(radius):
+            some = (i >= n) & (j < n) & (part[i] != part[j])
+            for x, y in zip(i[some].tolist(), j[some].tolist()):
+                if parts.top(part[x]) != parts.top(part[y]) and jaccard(sets[x], sets[y]) >= similarity:
+                    parts.join(part[x], part[y])
+                    links.append((names[part[x]], names[part[y]]))
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
     return run
 
@@ -353,53 +374,68 @@ def _jaccard_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="float64")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (u, v) of nodes those whose texts are similar. texts: digest, text. The shingles of a node in many pairs
-    are copied, one copy for HUB pairs."""
-    pairs = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+def _shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes: node, digest. Rows (node, shingles)."""
+    one = texts.join(nodes.hint("merge"), "digest").groupBy("node").agg(F.first("text").alias("text"))
+    return stage(one.select("node", _set_udf("text").alias("shingles")), "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) those whose sets are similar. The set of a node in many pairs is copied, a copy for HUB pairs."""
     degrees = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / HUB).cast("int").alias("copies"))
-    ends = stage(degrees.join(nodes.select("node", "digest"), "node"), "ends")
-    one = texts.join(ends, "digest").groupBy("node", "copies").agg(F.first("text").alias("text"))
-    one = one.select("node", "copies", _set_udf("text").alias("shingles"))
-    sets = stage(one.select("node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "shingles"), "shingles")
-    for end, other, name in (("u", "v", "a"), ("v", "u", "b")):
-        many = ends.filter("copies > 1").select(F.col("node").alias(end), "copies")
+    many = stage(degrees.filter("copies > 1"), "hubs")
+    copied = sets.join(many, "node", "left").select("node", "shingles", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    for end, other in (("u", "v"), ("v", "u")):
         copy = F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")
-        pairs = salted_join(pairs, many, [end], "left", F.col(other)).withColumn(f"copy_{end}", copy).drop("copies")
+        pairs = salted_join(pairs, many.withColumnRenamed("node", end), [end], "left", F.col(other)).withColumn(f"copy_{end}", copy).drop("copies")
     for end, name in (("u", "a"), ("v", "b")):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("copy").alias(f"copy_{end}"), F.col("shingles").alias(name)), [end, f"copy_{end}"])
+        right = copied.select(F.col("node").alias(end), F.col("copy").alias(f"copy_{end}"), F.col("shingles").alias(name))
+        pairs = pairs.join(right.hint("merge"), [end, f"copy_{end}"])
     return stage(pairs.filter(_jaccard_udf("a", "b") >= similarity).select("u", "v"), "similar")
 
 
+def _members(links: DataFrame, name: str) -> DataFrame:
+    """Rows (node, name) of the nodes in links: name is the smallest node of the part."""
+    star = components(links)
+    return star.select(F.col("u").alias("node"), F.col("v").alias(name)).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias(name)).distinct())
+
+
 def similar_parts(
-    texts: DataFrame, nodes: DataFrame, radius: int = CANDIDATE_RADIUS, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD, nearest: int = NEAREST
+    texts: DataFrame, nodes: DataFrame, radius: int = CANDIDATE_RADIUS, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD, block: int = BLOCK
 ) -> DataFrame:
     """Rows (node, part) of the nodes that are linked to another: two link if their fingerprints differ in `radius` bits at
     most and their shingle sets have the similarity. nodes: node, fp, digest; texts: digest, text.
 
-    First each node's nearest neighbours are held against it. Where a shard had more of them, all those pairs follow
-    that have not come to the same part by then: every link counts, but the pairs of a group are not listed."""
-    # a tree holds the first of the texts of one fingerprint, and the others are candidates of that one
+    Fingerprints alone give wide parts, by a spanning forest of each shard. The forests' links are verified first and give
+    parts. What a wide part holds beside its largest part is then held, in tiles of `block` by `block` nodes, against all
+    of it, where fingerprints are near and parts still apart. So every link counts, but no group's pairs are listed, no
+    task has a whole group, and a large group whose texts are linked is not gone through again."""
+    # a tree holds the first of the texts of one fingerprint; the others are linked to that one
     heads = stage(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "heads")
     several = heads.filter("n > 1").select("fp", F.col("node").alias("v"))
     same = salted_join(nodes.select("fp", F.col("node").alias("u")), several, ["fp"], "inner", F.col("u")).filter("u != v").select("u", "v")
-    shards = fine_shards(heads.select("fp", "node"), radius, max_shard)
-    found = stage(_dealt(shards).mapInPandas(_candidates(radius, nearest), "u long, v long, mask long, val long, more boolean"), "candidates")
-    links = _verified(found.filter("not more").select("u", "v").unionByName(same), texts, nodes, similarity)
-    star = components(links)
-    # the others of a fingerprint have met neither each other nor what its first one has met
-    alike = several.select(F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("val")).unionByName(shards.join(several.select("fp"), "fp", "left_semi").select("mask", "val"))
-    dense = stage(found.filter("more").select("mask", "val").unionByName(alike).distinct(), "dense")
-    masks = [r.mask for r in dense.select("mask").distinct().collect()]  # not more than fine_shards has
-    if masks:
-        part = nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("fp", "node", F.coalesce("part", "node").alias("part"))
-        every = part.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).withColumn("val", F.col("mask").bitwiseAND(F.col("fp")))
-        every = stage(salted_join(every, dense, ["mask", "val"], "left_semi", F.col("node")), "dense-shards")
-        open_ = stage(every.groupBy("mask", "val").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a != b").select("mask", "val"), "open-shards")
-        rest = _dealt(salted_join(every, open_, ["mask", "val"], "left_semi", F.col("node"))).mapInPandas(_remaining(radius), "u long, v long")
-        more = _verified(rest.join(links, ["u", "v"], "left_anti"), texts, nodes, similarity)
-        star = components(star.unionByName(more))
-    return star.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
+    found = _dealt(fine_shards(heads.select("fp", "node"), radius, max_shard)).mapInPandas(_spanning(radius), "u long, v long").unionByName(same)
+    pairs = stage(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    wide = stage(_members(pairs, "wide").join(nodes.select("node", "fp", "digest"), "node"), "wide-parts")
+    sets = _shingle_sets(texts, wide.select("node", "digest"))
+    links = _verified(pairs, sets, similarity)
+    known = stage(wide.join(_members(links, "part"), "node", "left").select("wide", "node", "fp", F.coalesce("part", "node").alias("part")), "known")
+    # of each wide part with more than one part: its size, and the largest part
+    sizes = known.groupBy("wide", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("wide").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("top")).filter("parts > 1 and all > 2")
+    open_ = stage(largest.select("wide", "all", (F.col("all") - F.col("top.n")).alias("rest"), F.col("top.part").alias("top")), "open")
+    rows = salted_join(known, open_, ["wide"], "inner", F.col("node"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    own = lambda n: F.array(F.pmod(F.xxhash64("node"), blocks(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    asked = rows.filter("part != top").select("wide", "node", "fp", "part", F.lit(True).alias("query"), F.explode(own("rest")).alias("q"), every("all").alias("cs"))
+    asked = asked.select("wide", "node", "fp", "part", "query", "q", F.explode("cs").alias("c"))
+    held = rows.select("wide", "node", "fp", "part", F.lit(False).alias("query"), F.explode(every("rest")).alias("q"), own("all").alias("cs"))
+    held = held.select("wide", "node", "fp", "part", "query", "q", F.explode("cs").alias("c"))
+    tiles = asked.unionByName(held).join(sets.hint("merge"), "node").groupBy("wide", "q", "c")
+    more = stage(tiles.applyInPandas(_tile(radius, similarity), "u long, v long"), "more-links")
+    joined = known.filter("node != part").select(F.col("node").alias("u"), F.col("part").alias("v")).unionByName(more)
+    return _members(joined, "part")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -423,5 +459,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = stage(keys.select(F.col("doc_id").alias(gid), F.col("digest").alias(gdigest), goes.alias("goes"), "n"), "keys")
     out = stage(keys.filter("goes").select(gid, gdigest), "goes")
     digest = _digest(F.col(text_col))
-    left = docs.join(out, F.col(id_col).eqNullSafe(F.col(gid)) & (digest == F.col(gdigest)), "left_anti")
+    left = docs.join(out.hint("merge"), F.col(id_col).eqNullSafe(F.col(gid)) & (digest == F.col(gdigest)), "left_anti")
     return left if keys.filter("not goes and n > 1").isEmpty() else one_of_each(left, id_col, digest, text_col)

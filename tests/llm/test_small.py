@@ -161,8 +161,8 @@ def brute_similar(texts, radius=8, similarity=0.8):
     return [top(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("max_shard,nearest", [(1024, 2), (4, 1)])
-def test_near_dedup_against_brute_force(spark, max_shard, nearest):
+@pytest.mark.parametrize("max_shard,block", [(1024, 2048), (4, 3)])
+def test_near_dedup_against_brute_force(spark, max_shard, block):
     rng = random.Random(max_shard)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 6))) for _ in range(300)]
     rows = []
@@ -178,7 +178,7 @@ def test_near_dedup_against_brute_force(spark, max_shard, nearest):
     group = brute_similar([t for _, t in rows])
     order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest())
     want = [min((r for r, h in zip(rows, group) if h == g), key=order) for g in set(group)]
-    got = simhash.deduplicate(df.repartition(5), max_shard=max_shard, nearest=nearest)
+    got = simhash.deduplicate(df.repartition(5), max_shard=max_shard, block=block)
     assert got.columns == df.columns
     assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted(((d, t or "") for d, t in want), key=str)
     assert len(want) < len(rows) - 20
