@@ -1,16 +1,13 @@
 """Licence scan by sentence rules (DataFrame operations only).
 
-A text is cut into sentences (at . ! ? before a space or the end; a sentence of several lines is also taken line by
-line). Sentences that hold one of the words KEYWORDS are normalised (ASCII lower case; all but letters, digits and
-. + - become one space) and mapped to the identifiers of known licence sentences. The sequence of identifiers is held
-against licence rules, in order: a rule takes the places where its identifiers stand one after the other, and what it
-has taken is not seen by later rules. There is no shuffle; nothing is broadcast but the tables in this file.
-
-A sentence does not end between "v." and a number. A sentence that is not known as it stands is tried again without the
-list mark before it, the number of the next list item left at its end, and marks that stand alone, and as one of the
-known joined sentences (JOINED), which no full stop parts in the licence's own text.
-
-The SQL (oracle) knows none of that paragraph: it differs on texts that hold such sentences.
+A text is first laid out (LAYOUT): marks before a line, as comments have them, go; a copyright line and a list mark begin
+a new paragraph; the full stop of "v. 2.0" goes. It is then cut into sentences: at . ! ? before a space or the end, and
+between paragraphs; a sentence of several lines is also taken line by line. Sentences that hold one of the words
+KEYWORDS are normalised (ASCII lower case; all but letters, digits and . + - become one space) and mapped to the
+identifiers of known licence sentences, or of two that a licence prints without a full stop between them (JOINED). The
+sequence of identifiers is held against licence rules, in order: a rule takes the places where its identifiers stand
+one after the other, and what it has taken is not seen by later rules. There is no shuffle; nothing is broadcast but the
+tables in this file.
 
 Results: doc_id, n_known (known sentences), sentence_ids (in order, comma-joined), licenses (distinct, sorted,
 comma-joined; null if none), unmatched (identifiers that no rule took, distinct and sorted; null if none). Null and empty
@@ -32,7 +29,6 @@ SENTENCES: list[tuple[str, str]] = [
     ("mit-short", "Licensed under the MIT License"),
     ("mit-short", "This project is licensed under the MIT License"),
     ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),  # noqa: E501
-    ("mit-grant-notice", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software'),  # noqa: E501
     ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("as-is", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
     ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
@@ -44,6 +40,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache-short", "Licensed under the Apache License, Version 2.0"),
     ("apache-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'),
     ("apache-copy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-copy", "You may obtain a copy of the License at"),
     ("apache-as-is", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
     ("gpl2-short", "This work is licensed under the GNU General Public License, version 2"),
     ("gpl3-short", "This work is licensed under the GNU General Public License, version 3"),
@@ -63,9 +60,10 @@ for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
 # Ordered rules, the more specific first.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
-    ("MIT", ["mit-grant-notice", "as-is"]),
     ("ISC", ["isc-grant", "isc-as-is"]),
+    ("BSD-3-Clause", ["rights", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-2-Clause", ["rights", "bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", ["apache-header", "apache-copy", "apache-as-is"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-warranty", "gpl-details"]),
@@ -92,28 +90,29 @@ _KEY = "(?i)" + "|".join(KEYWORDS).replace(" ", r"[ \t\r\n]+")
 _END = r"[.!?]+([ \t\r\n]+|$)"
 _OTHER = "[^a-z0-9.+-]+"
 
-#: What the operator splits at: as _END, but not between "v." and a number.
-_SPLIT = r"(?!(?<=\b[vV])\.[ \t\r\n/*#;%-]+[0-9])" + _END
-_ITEM = r"\(?([0-9]{1,2}|[A-Za-z]|[ivx]{1,4})"
-#: A list mark at the beginning; the mark of the next item, cut at its full stop, alone on the last line.
-_MARKS = r"^[ \t\r\n/*#;%>-]*" + _ITEM + r"[.)][ \t]+|[\r\n][ \t/*#;%>-]*" + _ITEM + "$"
-_ALONE = r" [.+-]+(?= )"
+#: (pattern, what comes in its place), in order; `^` and `$` are those of lines, case is not looked at.
+LAYOUT: list[tuple[str, str]] = [
+    (r"^[ \t/*#;%>-]+", ""),
+    (r"^copyright[ \t]+(\(c\)|©|[0-9])[^\n]*?(all rights reserved|$)", "\n\n\\2"),
+    (r"^\(?([0-9]{1,2}|[a-z]|[ivx]{1,4})[.)][ \t]+([a-z(])", "\n\n\\2"),
+    (r"\bv\.([ \t\r\n]+[0-9])", "v\\1"),
+]
+_CUT = _END + r"|\n[ \t\r]*\n[ \t\r\n]*"
 
 
 def normal(sentence: str) -> str:
-    s = re.sub(_END + r"$", " ", sentence)
+    s = re.sub(_END + r"$", " ", re.sub(LAYOUT[-1][0], r"v\1", sentence, flags=re.I))
     s = re.sub(_OTHER, " ", s.translate(str.maketrans(_UPPER, _LOWER))).replace("licence", "license")
     return s.strip(" .+-")
 
 
-KNOWN: dict[str, str] = {normal(text): i for i, text in SENTENCES}
+KNOWN: dict[str, list[str]] = {normal(text): [i] for i, text in SENTENCES}
 assert all(re.search(_KEY, text) for text in KNOWN)
 
-# Sentences that follow each other without a full stop, and what a list may put between them.
-JOINED: dict[str, list[str]] = {}
-for _ids, _between in ((["bsd-grant", "bsd-source"], ("", " 1", " a", " i")), (["apache-copy", "apache-as-is"], ("",))):
-    _a, _b = (next(s for s, i in KNOWN.items() if i == of) for of in _ids)
-    JOINED |= {f"{_a}{x} {_b}": _ids for x in _between}
+# Sentences that follow each other without a full stop or a blank line.
+JOINED = [["mit-grant", "mit-notice"], ["bsd-grant", "bsd-source"], ["apache-copy", "apache-as-is"]]
+for _ids in JOINED:
+    KNOWN[" ".join(next(s for s, i in KNOWN.items() if i == [of]) for of in _ids)] = _ids
 
 
 def _normal(s: Column) -> Column:
@@ -123,12 +122,13 @@ def _normal(s: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order, each in angle brackets."""
-    known = {s: _sequence([i]) for s, i in KNOWN.items()} | {s: _sequence(ids) for s, ids in JOINED.items()}
-    known = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    units = F.filter(F.split(F.when(text.rlike(_KEY), text).otherwise(""), _SPLIT), lambda u: u.rlike(_KEY))
+    known = F.create_map(*[F.lit(x) for s, ids in KNOWN.items() for x in (s, _sequence(ids))])
+    text = F.when(text.rlike(_KEY), text).otherwise("")
+    for pattern, new in LAYOUT:
+        text = F.regexp_replace(text, "(?imd)" + pattern, new.replace("\\", "$"))
+    units = F.filter(F.split(text, _CUT), lambda u: u.rlike(_KEY))
     forms = F.flatten(F.transform(units, lambda u: F.when(F.instr(u, "\n") > 0, F.concat(F.array(u), F.split(u, "\n"))).otherwise(F.array(u))))
-    bare = lambda u: F.regexp_replace(_normal(F.regexp_replace(u, _MARKS, "")), _ALONE, "")
-    ids = F.transform(forms, lambda u: F.coalesce(F.try_element_at(known, _normal(u)), F.try_element_at(known, bare(u))))
+    ids = F.transform(forms, lambda u: F.try_element_at(known, _normal(u)))
     return F.concat_ws("", F.filter(ids, lambda i: i.isNotNull()))
 
 
@@ -158,13 +158,14 @@ def oracle() -> str:
     text = lambda s: "'" + s.replace("'", "''") + "'"
     norm = f"trim(replace(regexp_replace(translate(u, '{_UPPER}', '{_LOWER}'), '{_OTHER}', ' ', 'g'), 'licence', 'license'), ' .+-')"
     taken = reduce(lambda s, rule: f"replace({s}, '{_sequence(rule[1])}', '[{rule[0]}]')", RULES, "seq")
+    laid = reduce(lambda s, x: f"regexp_replace({s}, '(?im){x[0]}', {text(x[1])}, 'g')", LAYOUT, "coalesce(text, '')")
     return f"""
-        WITH known(s, id) AS (VALUES {", ".join(f"({text(s)}, {text(i)})" for s, i in KNOWN.items())}),
-        a AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-        b AS (SELECT r, unnest(string_split_regex(text, '{_END}')) AS u, generate_subscripts(string_split_regex(text, '{_END}'), 1) AS i FROM a),
+        WITH known(s, k, id) AS (VALUES {", ".join(f"({text(s)}, {k}, {text(i)})" for s, ids in KNOWN.items() for k, i in enumerate(ids))}),
+        a AS (SELECT row_number() OVER () AS r, doc_id, {laid} AS text FROM documents),
+        b AS (SELECT r, unnest(string_split_regex(text, '{_CUT}')) AS u, generate_subscripts(string_split_regex(text, '{_CUT}'), 1) AS i FROM a),
         c AS (SELECT r, i, unnest(CASE WHEN contains(u, chr(10)) THEN [u] || string_split(u, chr(10)) ELSE [u] END) AS u,
                      generate_subscripts(CASE WHEN contains(u, chr(10)) THEN [u] || string_split(u, chr(10)) ELSE [u] END, 1) AS j FROM b),
-        d AS (SELECT r, string_agg(id, ',' ORDER BY i, j) AS sentence_ids, count(*) AS n_known, string_agg('<' || id || '>', '' ORDER BY i, j) AS seq
+        d AS (SELECT r, string_agg(id, ',' ORDER BY i, j, k) AS sentence_ids, count(*) AS n_known, string_agg('<' || id || '>', '' ORDER BY i, j, k) AS seq
               FROM c JOIN known ON known.s = {norm} GROUP BY r),
         e AS (SELECT *, {taken} AS taken FROM d)
         SELECT a.doc_id, coalesce(n_known, 0) AS n_known, coalesce(sentence_ids, '') AS sentence_ids,

@@ -603,8 +603,7 @@ def test_chat_repeated_turns_in_order_of_text(spark, turn):
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(q.SQL["op1_chat_format"]).fetchall())
 
 
-def test_licences(spark, odd, none):
-    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
@@ -617,7 +616,10 @@ copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
-    texts = ["x\nReleased under the MIT Licence.\ny", mit, "Licensed under CC BY-NC 4.0. All rights reserved.", "no licence", None, "See the GNU General Public License for more details."]
+
+
+def test_licences(spark, odd, none):
+    texts = ["x\nReleased under the MIT Licence.\ny", MIT, "Licensed under CC BY-NC 4.0. All rights reserved.", "no licence", None, "See the GNU General Public License for more details."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(df).collect()}
     assert [got[i].licenses for i in range(6)] == ["MIT", "MIT", "All-rights-reserved,CC-BY-NC-4.0", None, None, None]
@@ -667,6 +669,107 @@ def test_licences_as_they_are_printed(spark):
         assert (got[i].licenses, got[i].unmatched) == (x, None), t
 
 
+# Licences as their files print them.
+FILES = {
+    "ISC": """ISC License
+
+Copyright (c) 2020, A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES.
+""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+""",
+    "Apache-2.0": """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "GPL-2.0-or-later": """Prog does things
+Copyright (C) 2020 A. Person
+
+This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+""",
+}
+FILES["MIT"] = """The MIT License (MIT)
+
+Copyright (c) 2020 A. Person
+
+""" + MIT + " IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY.\n"
+FILES["BSD-2-Clause"] = re.sub(r"3\. Neither.*?permission\.\n\n", "", FILES["BSD-3-Clause"], flags=re.S)
+FILES["GPL-3.0-or-later"] = FILES["GPL-2.0-or-later"].replace("free software;", "free software:").replace("Foundation; either version 2", "Foundation, either version 3")
+FILES["MPL-2.0"] = MPL
+
+
+def test_licence_files_in_operator_and_sql(spark):
+    """Whole notices, with copyright lines and comment marks: the expected licence, from the operator and from the SQL."""
+    import duckdb
+
+    want = {}
+    for name, t in FILES.items():
+        tight = re.sub(r"(?m)^(Copyright[^\n]*)\n\n", r"\1\n", t)  # no blank line after the copyright line
+        for text in (t, tight, t.replace("\n", "\r\n"), "x = 1\n\n" + t + "\nMore text. And more.", *["\n".join(p + line for line in t.split("\n")) for p in ("// ", "# ", " * ", "-- ", ";; ")]):
+            want[len(want)] = (text, name)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in want.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    for i, (t, name) in want.items():
+        assert (got[i].licenses, got[i].unmatched) == (name, None), t
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(i, t) for i, (t, _) in want.items()])
+    rows = con.execute(license_scan.oracle()).fetchall()
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in license_scan.scan(docs).collect())
+
+
 def test_every_licence_rule_fires(spark):
     text = {}
     for i, s in license_scan.SENTENCES:
