@@ -1,15 +1,15 @@
 """Chat formatting with cumulative-snapshot collapse (DataFrame operations only).
 
-A conversation that was logged again after each turn leaves snapshots that prefix the last one. Each turn gets two
-64-bit hashes of its place, role and text; running xor over the turns gives a hash of each prefix. A conversation whose
-whole hash, with its number of turns, is the hash of a proper prefix of another is dropped by an anti-join; the maximal
-ones are rendered.
+A conversation that was logged again after each turn leaves snapshots that prefix the last one. Turns are ordered by
+turn, then role, then md5 of the text; rows equal in all three are one run of so many copies. Each run gets two 64-bit
+hashes of its place, turn, role, text digest and copies, and the running xor of those before it is the hash of the
+prefix that it continues. A conversation goes, by an anti-join, if another has the same prefix and the same run where its
+own last one stands, and there has more copies or goes on; the maximal ones are rendered.
 
-Turns are ordered by turn, then role, then text, here and in the rendering. Places and running hashes are found in two
-steps: within blocks of BLOCK turn numbers, and over the totals of a conversation's blocks; so a conversation that holds
-a large share of all rows is spread over tasks. A rendering row holds one block: (conv_id, part, text); nearly all
-conversations have one. Texts are shuffled twice, to order turns and to be rendered; later hash steps carry none. Only distinct prefix hashes
-are compared, and what a common conversation matches is dealt by salt.
+No step has more of a conversation in one task than its share. The narrow runs are sorted by ranges over all of them,
+which cut a large conversation where it has many runs; places and hashes are found within a range's piece of a
+conversation, and over the totals of a conversation's pieces. Rendering makes a row for BLOCK turns: (conv_id, part, n_turns,
+text); nearly all conversations have one. Texts are shuffled twice: by run, where copies become one, and to be rendered.
 
 Results: a null text or role is empty; null turns come first; rows with a null conv_id are left out; equal
 conversations do not prefix a longer one by being equal: each stays; repeated rows are turns; an empty table gives an
@@ -25,55 +25,64 @@ from pyspark.sql.window import Window
 from .common import salted_join, stage
 
 BLOCK = 1024
+RUN = ["conv_id", "turn", "role", "digest"]
 
 
-def _turns(conversations: DataFrame, block: int) -> DataFrame:
-    part = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block).cast("long")
+def _turns(conversations: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
     return conversations.filter(F.col("conv_id").isNotNull()).select(
-        "conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), part.alias("part"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.md5(text).alias("digest"), text.alias("text")
     )
 
 
-def _before(rows: DataFrame, value: Column, total: str) -> DataFrame:
-    """For each block of a conversation, `total` over the blocks before it: count or xor of value."""
-    agg = F.count if total == "count" else F.bit_xor
-    sums = rows.groupBy("conv_id", "part").agg(agg(value).alias("_v"))
-    over = F.sum if total == "count" else F.bit_xor
-    w = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("conv_id", "part", F.coalesce(over("_v").over(w), F.lit(0)).alias("_before"))
-
-
-def prefixes(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, n, h1, h2): the hashes of each conversation's first n turns."""
-    rows = turns.select("conv_id", "part", "turn", "role", "text", F.xxhash64("role", "text").alias("a"), F.xxhash64("text", F.lit("second"), "role").alias("b"))
-    w = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
-    local = rows.withColumn("k", F.row_number().over(w)).drop("text")
-    placed = local.join(_before(rows, F.lit(1), "count"), ["conv_id", "part"]).withColumn("n", F.col("k") + F.col("_before")).drop("_before", "turn", "role")
-    placed = stage(placed.select("conv_id", "part", "n", F.xxhash64("n", "a", "b").alias("x1"), F.xxhash64("b", "n", F.lit("second"), "a").alias("x2")), "turn-hashes")
-    run = Window.partitionBy("conv_id", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.select("conv_id", "part", "n", F.bit_xor("x1").over(run).alias("l1"), F.bit_xor("x2").over(run).alias("l2"))
-    one = _before(placed, F.col("x1"), "xor").withColumnRenamed("_before", "b1")
-    two = _before(placed, F.col("x2"), "xor").withColumnRenamed("_before", "b2")
-    out = out.join(one, ["conv_id", "part"]).join(two, ["conv_id", "part"])
-    return out.select("conv_id", "n", F.col("l1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("l2").bitwiseXOR(F.col("b2")).alias("h2"))
-
-
-def absorbed(turns: DataFrame) -> DataFrame:
+def _before(placed: DataFrame, **totals: Column) -> DataFrame:
+    """For each piece of a conversation, the totals over the pieces before it."""
+    w = Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("conv_id", "piece").agg(*[x.alias(name) for name, x in totals.items()])
+    over = {name: (F.bit_xor if name.startswith("x") else F.sum)(name) for name in totals}
+    return sums.select("conv_id", "piece", *[F.coalesce(x.over(w), F.lit(0)).alias(f"{name}_before") for name, x in over.items()])
+
+
+def runs(turns: DataFrame) -> DataFrame:
+    """Rows RUN, copies, place (of the run, from 0), at (turns before it), last, h1, h2 (hashes of the runs before it)."""
+    found = turns.groupBy(*RUN).agg(F.count("*").alias("copies"))
+    piece = [F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().alias("row")]
+    rows = stage(found.repartitionByRange(*RUN).sortWithinPartitions(*RUN).select("*", *piece), "runs")
+    here = Window.partitionBy("conv_id", "piece").orderBy("row")
+    past = here.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select("*", (F.row_number().over(here) - 1).alias("i"), F.coalesce(F.sum("copies").over(past), F.lit(0)).alias("n"))
+    placed = local.join(_before(rows, runs=F.count("*"), copies=F.sum("copies")), ["conv_id", "piece"])
+    placed = placed.select(*RUN, "copies", "piece", "row", (F.col("i") + F.col("runs_before")).alias("place"), (F.col("n") + F.col("copies_before")).alias("at"))
+    hashed = [F.xxhash64("place", "turn", "role", "digest", "copies").alias("x1"), F.xxhash64("copies", "digest", F.lit("second"), "role", "turn", "place").alias("x2")]
+    placed = stage(placed.select("*", *hashed), "places")
+    xor = lambda c: F.coalesce(F.bit_xor(c).over(past), F.lit(0)).alias(f"{c}_here")
+    sizes = placed.groupBy("conv_id").agg(F.max("place").alias("end"))
+    out = placed.select("*", xor("x1"), xor("x2")).join(_before(placed, x1=F.bit_xor("x1"), x2=F.bit_xor("x2")), ["conv_id", "piece"])
+    out = salted_join(out, sizes, ["conv_id"], "inner", F.col("place"))
+    prefix = [F.col(f"{x}_here").bitwiseXOR(F.col(f"{x}_before")).alias(h) for x, h in (("x1", "h1"), ("x2", "h2"))]
+    return out.select(*RUN, "copies", "place", "at", (F.col("place") == F.col("end")).alias("last"), *prefix)
+
+
+def absorbed(every: DataFrame) -> DataFrame:
     """The conv_ids of conversations that prefix a longer one."""
-    every = stage(prefixes(turns), "prefixes")
-    sizes = every.groupBy("conv_id").agg(F.max(F.struct("n", "h1", "h2")).alias("last"))
-    whole = stage(sizes.select("conv_id", "last.*"), "whole")
-    # proper prefixes: all prefixes but as many of each hash as are whole conversations
-    counts = every.groupBy("n", "h1", "h2").count()
-    ends = whole.groupBy("n", "h1", "h2").agg(F.count("*").alias("ends"))
-    inner = counts.join(ends, ["n", "h1", "h2"]).filter(F.col("count") > F.col("ends")).select("n", "h1", "h2")
-    return salted_join(whole, inner, ["n", "h1", "h2"], "left_semi", F.col("conv_id")).select("conv_id")
+    key = [F.xxhash64("place", "h1", "h2", "turn", "role", "digest").alias("k1"), F.xxhash64("digest", "h2", "h1", "role", "turn", F.lit("key"), "place").alias("k2")]
+    keyed = every.select("conv_id", "place", *key, F.struct("copies", (~F.col("last")).alias("more")).alias("length"), "last")
+    longest = keyed.groupBy("place", "k1", "k2").agg(F.max("length").alias("longest"))
+    ends = keyed.filter("last")
+    return salted_join(ends, longest, ["place", "k1", "k2"], "inner", F.col("conv_id")).filter("longest > length").select("conv_id")
 
 
 def collapse_and_render(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row per part of each maximal conversation: conv_id, part, n_turns (of the part), text."""
-    turns = _turns(conversations, block)
-    kept = turns.join(absorbed(turns), "conv_id", "left_anti")
-    rows = kept.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"), F.count("*").alias("n_turns"))
-    text = F.array_join(F.transform("ts", lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n"))), "")
-    return rows.select("conv_id", "part", "n_turns", text.alias("text"))
+    turns = _turns(conversations)
+    every = stage(runs(turns), "prefixes")
+    kept = salted_join(every, stage(absorbed(every), "absorbed"), ["conv_id"], "left_anti", F.col("place"))
+    part_of = lambda n: F.floor(n / block)
+    kept = kept.select(*RUN, "at", "copies", F.explode(F.sequence(part_of(F.col("at")), part_of(F.col("at") + F.col("copies") - 1))).alias("part"))
+    here = F.least(F.col("at") + F.col("copies"), (F.col("part") + 1) * block) - F.greatest(F.col("at"), F.col("part") * block)
+    texts = turns.groupBy(*RUN).agg(F.first("text").alias("text"))
+    rows = kept.select(*RUN, "part", "at", here.cast("int").alias("times")).join(texts.hint("merge"), RUN)
+    one = F.struct("at", "times", "role", "text")
+    rows = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(one)).alias("ts"), F.sum("times").alias("n_turns"))
+    said = lambda t: F.repeat(F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n")), t["times"])
+    return rows.select("conv_id", "part", "n_turns", F.array_join(F.transform("ts", said), "").alias("text"))

@@ -92,11 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_chat_format": """
-        WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-        c AS (SELECT conv_id, list(role || chr(0) || text ORDER BY turn, role, text) AS ts FROM t GROUP BY conv_id),
+        WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS n
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list(turn || chr(0) || role || chr(0) || text ORDER BY n) AS ts FROM t GROUP BY conv_id),
         gone AS (SELECT DISTINCT a.conv_id FROM c a JOIN c b ON a.ts[1] = b.ts[1] AND len(a.ts) < len(b.ts) AND b.ts[:len(a.ts)] = a.ts)
-        SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS part, count(*) AS n_turns,
-               string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+        SELECT conv_id, n // 1024 AS part, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY n) AS text
         FROM t WHERE conv_id NOT IN (SELECT conv_id FROM gone) GROUP BY ALL""",
     "op8_license_scan": license_scan.oracle(),
     "op3_warc": """

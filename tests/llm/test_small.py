@@ -589,18 +589,50 @@ def test_chat(spark):
     assert chat_format.collapse_and_render(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("turn", [0, None])
-def test_chat_repeated_turns_in_order_of_text(spark, turn):
+def chat_in_sql(turns):
     import duckdb
 
-    texts = ["a", "b", "cc", "d é", "Z", "", "中"]
-    turns = [(10 * i + j, turn, "u", t) for i in range(len(texts)) for j in range(len(texts)) if i != j for t in (texts[i], texts[j])]
-    turns += [(1000 + i, turn, "u", t) for i, t in enumerate(texts)]
     con = duckdb.connect()
     con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
     con.executemany("insert into conversations values (?, ?, ?, ?)", turns)
+    return sorted(con.execute(q.SQL["op1_chat_format"]).fetchall())
+
+
+@pytest.mark.parametrize("turn", [0, None])
+def test_chat_repeated_turns(spark, turn):
+    texts = ["a", "b", "cc", "d é", "Z", "", "中"]
+    turns = [(10 * i + j, turn, "u", t) for i in range(len(texts)) for j in range(len(texts)) if i != j for t in (texts[i], texts[j])]
+    turns += [(1000 + i, turn, "u", t) for i, t in enumerate(texts)]
     got = chat_format.collapse_and_render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    assert sorted(map(tuple, got.collect())) == sorted(con.execute(q.SQL["op1_chat_format"]).fetchall())
+    assert sorted(map(tuple, got.collect())) == chat_in_sql(turns)
+
+
+def test_chat_random_prefixes(spark):
+    rng = random.Random(6)
+    turns = []
+    for c in range(150):
+        n = rng.randrange(1, 6)
+        turns += [(c, rng.choice([k, k // 2]), rng.choice("uu a".split()), rng.choice(["x", "y", "x y " * 200])) for k in range(n)]
+    turns += [(None, 0, "u", "x"), (900, None, None, None), (901, None, None, None), (901, 0, "u", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, chat_format.collapse_and_render(df.repartition(4)).collect())) == chat_in_sql(turns)
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_chat_cuts_a_hot_conversation(spark, numbered):
+    """Most rows in one conversation, with and without turn numbers, one turn repeated a thousand times."""
+    turns = [(7, k if numbered else None, "u", f"text {k}") for k in range(4000)] + [(7, 5 if numbered else None, "u", "again")] * 1000
+    turns += [(8, k if numbered else None, "u", f"text {k}") for k in range(3)] + [(9, 1, "u", "other")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, chat_format.collapse_and_render(df.repartition(4)).collect()))
+    assert got == chat_in_sql(turns) and max(r[2] for r in got) <= chat_format.BLOCK
+    assert chat_format.runs(chat_format._turns(df)).filter("conv_id = 7").count() == 4001
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small partitions are joined again
+    try:
+        found = chat_format._turns(df).groupBy(*chat_format.RUN).count().repartitionByRange(*chat_format.RUN).filter("conv_id = 7")
+        assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
