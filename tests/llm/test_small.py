@@ -629,7 +629,7 @@ def test_chat_cuts_a_hot_conversation(spark, numbered):
     assert chat_format.runs(chat_format._turns(df)).filter("conv_id = 7").count() == 4001
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small partitions are joined again
     try:
-        found = chat_format._turns(df).groupBy(*chat_format.RUN).count().repartitionByRange(*chat_format.RUN).filter("conv_id = 7")
+        found = chat_format._turns(df).groupBy(*chat_format.ORDER).count().repartitionByRange(*chat_format.ORDER).filter("conv_id = 7")
         assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
