@@ -21,13 +21,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 5
 QUERY_STEP = 50
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 8192
 #: Candidates multiplied at once in a tile.
-STRIP = 2048
+STRIP = 1024
 #: float32 sums of products of int8 codes are exact up to so many dimensions.
 EXACT = 1024
 PART = "query_id long, vec_id long, score double"
@@ -135,9 +136,11 @@ def _merge(k: int):
     return run
 
 
+# Vectors are shuffled as they are stored; blocks turn them into doubles.
 def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """vectors: vec_id, embedding. Queries are the rows whose id is divisible by `step`. Returns query_id, rank, vec_id, score."""
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    kind = vectors.schema["embedding"].dataType.elementType
+    v = F.col("embedding") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec")).filter(
         F.col("vec_id").isNotNull()
         & F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
