@@ -9,6 +9,7 @@ may have overflowed to an infinity. Null columns follow Spark's three-valued log
 
 from __future__ import annotations
 
+import math
 import struct
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ class Typed:
     type: ColType
     maybe_nan: bool = False
     maybe_inf: bool = False
+    plain: bool = False  # a column as it is read
+    value: float | None = None  # of a float literal
 
 
 def col(df: DataFrame, name: str, finite: bool = True) -> Typed:
@@ -35,7 +38,7 @@ def col(df: DataFrame, name: str, finite: bool = True) -> Typed:
         raise AnalysisError(f"no such column: {name}")
     kind = of_spark(df.schema[name].dataType)
     odd = not finite and kind.is_float
-    return Typed(F.col(f"`{name.replace('`', '``')}`"), kind, odd, odd)
+    return Typed(F.col(f"`{name.replace('`', '``')}`"), kind, odd, odd, plain=True)
 
 
 def lit_int(value: int) -> Typed:
@@ -50,7 +53,7 @@ def lit_float(value: float) -> Typed:
         value = struct.unpack("f", struct.pack("f", value))[0]
     except OverflowError:
         raise AnalysisError(f"{value} is not a 32-bit float") from None
-    return Typed(F.lit(value).cast("float"), ColType.FLOAT)
+    return Typed(F.lit(value).cast("float"), ColType.FLOAT, value=value)
 
 
 def to(x: Typed, kind: ColType) -> Column:
@@ -114,9 +117,28 @@ _COMPARE = {
 }
 
 
+_MIRRORED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _scan_bound(op: str, a: Typed, b: Typed) -> Column | None:
+    """What an integer column must fulfil itself if its cast compares so with a float literal: a wider bound that the scan
+    can take, as it can't take the cast. The cast moves a value by less than 2**-23 of the literal, or past it."""
+    if a.value is not None:
+        a, b, op = b, a, _MIRRORED.get(op, op)
+    if not a.plain or a.type not in (ColType.INT, ColType.INT64) or b.value is None or op == "!=":
+        return None
+    slack, most = abs(b.value) * 2.0**-23 + 1, 1 << (31 if a.type == ColType.INT else 63)
+    low, high = math.floor(b.value - slack), math.ceil(b.value + slack)
+    bounds = [a.column >= F.lit(low).cast(a.type.spark)] if op in (">", ">=", "=") and -most <= low < most else []
+    bounds += [a.column <= F.lit(high).cast(a.type.spark)] if op in ("<", "<=", "=") and -most <= high < most else []
+    return bounds[0] & bounds[1] if len(bounds) == 2 else bounds[0] if bounds else None
+
+
 def compare(op: str, a: Typed, b: Typed) -> Column:
     _, x, y = _binary(a, b)
     out = _COMPARE[op](x, y)
+    if (bound := _scan_bound(op, a, b)) is not None:
+        out = bound & out
     if nans := [F.isnan(c) for c, t in ((x, a), (y, b)) if t.maybe_nan]:
         for n in nans:
             out = (out | n) if op == "!=" else (out & ~n)

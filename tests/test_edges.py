@@ -134,6 +134,23 @@ def test_timer_and_clean_up(spark):
         spark.read.parquet(path)
 
 
+def test_scan_bounds_of_float_literals(spark, tmp_path):
+    """An integer column against a float literal: the scan gets a bound, the rows are those of the cast."""
+    near = [m * (1 << e) + d for e in (0, 10, 23, 24, 25, 30) for m in (-1, 1) for d in range(-3, 4)]
+    rows = [(k, max(-(1 << 31), min((1 << 31) - 1, v)), v << 20) for k, v in enumerate(near)]
+    spark.createDataFrame(rows, "k int, i int, l bigint").coalesce(1).write.parquet(path := str(tmp_path / "t"))
+    e = Engine(spark).register_parquet("t", path, "k")
+    df = spark.read.parquet(path).cache()
+    for literal in ("0.5", "-1.0", "16777216.0", "16777217.0", "-1073741824.0", "2147483648.0", "17592186044416.0"):
+        for column in ("i", "l"):
+            for op in ("=", "!=", "<", "<=", ">", ">="):
+                want = sorted(r.k for r in df.filter(f"cast({column} as float) {op} cast({literal}BD as float)").collect())
+                assert sorted(r.id for r in e.sql(f"select id from t where {column} {op} {literal}").collect()) == want, (column, op, literal)
+        assert sorted(r.id for r in e.sql(f"select id from t where {literal} < i").collect()) == sorted(r.k for r in df.filter(f"cast({literal}BD as float) < cast(i as float)").collect())
+    df.unpersist()
+    assert "GreaterThanOrEqual(i,3)" in e.explain("select id from t where i > 5.0")
+
+
 def _number(rng, depth):
     """(dialect, DuckDB) of a random expression over ints; both trees are written out in full."""
     if depth == 0 or rng.random() < 0.3:
