@@ -3,7 +3,8 @@
 A word's potentials come from hashed features: the word itself (lexicon), prefixes and suffixes up to 3 bytes, and
 character 2- to 4-grams. Transitions between the labels of neighbouring words are learned with them, from sequences
 spliced from labelled documents of different languages, as in code-switched text. Forward-backward gives each word's
-label probabilities; a document's probabilities are their mean over all its words.
+label probabilities; a document's probabilities are their mean over all its words. A document's certainty is the mean of
+its words' largest probabilities: high too where languages share a text and none of them leads.
 
 Forward-backward runs over the words of many texts at once: each text is cut into chunks of CHUNK words, the chunks'
 transfer matrices are multiplied in step, the short chains of matrices are then walked, and the chunks are run with the
@@ -14,7 +15,7 @@ of smallest id hash; of rows that repeat an id and label, one) and of each TRAIN
 MAX_LABELS labels with most rows. A label without a word there is not learned and never given.
 
 Results: lang_pred is `und` with score 0 if the text is null or has no letter, or if nothing could be learned; ties go
-to the label that sorts first; null ids are neither learned from nor held out; an empty table gives an empty result;
+to the label that sorts first; keep_identified rejects `und` and texts of little certainty; null ids are neither learned from nor held out; an empty table gives an empty result;
 other columns are not looked at.
 """
 
@@ -278,14 +279,16 @@ class Labeller:
         p = marginals(self._emit([w for t in texts for w in t]), sizes[some], self.trans)
         return np.split(p, np.cumsum(sizes)[:-1])
 
-    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        preds, scores, batch, held = [], [], [], 0
+    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the label, its score and the certainty."""
+        preds, scores, sure, batch, held = [], [], [], [], 0
 
         def flush() -> None:
             for p in self.words(batch):
                 mean = p.mean(axis=0) if len(p) else None
                 preds.append("und" if mean is None else self.labels[int(mean.argmax())])
                 scores.append(0.0 if mean is None else float(min(1.0, mean.max())))
+                sure.append(0.0 if mean is None else float(min(1.0, p.max(axis=1).mean())))
             batch.clear()
 
         for t in texts:
@@ -296,7 +299,7 @@ class Labeller:
                 held = 0
         if batch:
             flush()
-        return preds, scores
+        return preds, scores, sure
 
 
 def fit(docs: DataFrame, per_label: int = PER_LABEL, chars: int = TRAIN_CHARS) -> dict:
@@ -312,15 +315,15 @@ def fit(docs: DataFrame, per_label: int = PER_LABEL, chars: int = TRAIN_CHARS) -
 
 
 def predict(docs: DataFrame, model: dict, text: Column) -> Column:
-    """A struct column (lang_pred, score) over docs."""
+    """A struct column (lang_pred, score, certainty) over docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, certainty double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
         for s in batches:
-            preds, scores = labeller.documents(list(s))
-            yield pd.DataFrame({"lang_pred": preds, "score": scores})
+            preds, scores, sure = labeller.documents(list(s))
+            yield pd.DataFrame({"lang_pred": preds, "score": scores, "certainty": sure})
 
     return run(text)
 
@@ -332,7 +335,7 @@ def identify(docs: DataFrame, **bounds: int) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of docs whose language is found with a score of `least` or more, with their columns."""
+    """The rows of docs whose words' languages are found with a certainty of `least` or more, with their columns."""
     p = free_name(docs, "_lang_pred")
     scored = docs.withColumn(p, predict(docs, fit(docs), F.col("text")))
-    return scored.filter((F.col(p)["lang_pred"] != "und") & (F.col(p)["score"] >= least)).select(*docs.columns)
+    return scored.filter((F.col(p)["lang_pred"] != "und") & (F.col(p)["certainty"] >= least)).select(*docs.columns)

@@ -410,6 +410,16 @@ def test_language_switches_within_a_text():
     assert p.argmax(axis=1).tolist() == [1] * 5 + [0] * 5
 
 
+def test_language_keeps_texts_that_switch(spark):
+    text = {"en": "the of and with this", "de": "der die und nicht ist", "fr": "le la et dans pour", "da": "det som og ikke har"}
+    rows = [(i, f"{text[y]} " * 20, y) for i, y in enumerate(list(text) * 15)]
+    rows += [(1000, " ".join(f"{t} " * 9 for t in text.values()), None), (1001, "", None), (1002, "12 ?", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    score = {r.doc_id: r.score for r in langid.identify(docs).collect()}
+    assert score[1000] < 0.4
+    assert {r.doc_id for r in langid.keep_identified(docs).collect()} == {i for i, *_ in rows} - {1001, 1002}
+
+
 def test_language_odd(spark, odd, none):
     got = {r.doc_id: r for r in langid.identify(odd).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5, 7))
