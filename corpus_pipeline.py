@@ -13,7 +13,7 @@ from tabsieve.llm.common import new_path, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of which no language is likely, go."""
+    """Documents without a letter, or whose words have no certain language, go."""
     return langid.keep_identified(docs)
 
 
